@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chunk_bpe, exact_dedup, packing, simhash_dedup, token_files
+from . import chunk_bpe, exact_dedup, packing, pii, secrets, simhash_dedup, token_files
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_secrets": secrets.op2_secrets,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_token_files": token_files.op7_token_files,
