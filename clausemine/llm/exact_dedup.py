@@ -7,7 +7,8 @@ from round to round (64 bytes, then 16 times as many each), so a text of n bytes
 rounds, and only groups that are still open carry their remaining bytes on.
 
 Skew: group sizes are counted by a map-side combined aggregate and joined back, one row per group on
-one side, so adaptive execution splits the rows of a hot group over tasks.
+one side of a sort-merge join at every input size, so adaptive execution splits the rows of a hot
+group over tasks.
 
 Defined results: null text counts as empty, all empty texts are equal; a null doc_id sorts last;
 repeated rows count each and exactly one row of a group is kept; an empty table gives no rows;
@@ -46,7 +47,7 @@ def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = WI
         sizes = keyed.groupBy(*keys).count().filter("count > 1").select(*keys, F.monotonically_increasing_id().alias("next"))
         sizes = materialize(sizes, "radix-groups")
         over = F.col("next").isNull() | F.col("ended")
-        split = keyed.join(sizes, keys, "left").select(
+        split = keyed.join(sizes.hint("merge"), keys, "left").select(
             "doc_id", "row", "points", "sha", F.col("next").alias("grp"),
             F.when(~over, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
         )
