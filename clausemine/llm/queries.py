@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from . import chunk_bpe, exact_dedup, packing, pii, secrets, simhash_dedup, token_files
+from functools import wraps
+
+from . import chunk_bpe, exact_dedup, packing, pii, quality, secrets, simhash_dedup, token_files, toxicity
+from .shared import importable
+
+
+def ready(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op1_pii": pii.op1_pii,
-    "op2_secrets": secrets.op2_secrets,
-    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
-    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
-    "op7_token_files": token_files.op7_token_files,
-    "op8_chunk_bpe": chunk_bpe.op8_chunk_bpe,
-    "op9_packing": packing.op9_packing,
+    q.__name__: ready(q)
+    for q in (
+        pii.op1_pii,
+        secrets.op2_secrets,
+        exact_dedup.op4_exact_dedup,
+        toxicity.op5_toxicity,
+        simhash_dedup.op6_simhash_dedup,
+        token_files.op7_token_files,
+        chunk_bpe.op8_chunk_bpe,
+        packing.op9_packing,
+        quality.op10_quality,
+    )
 }
 
 SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the library from where the driver has it."""
+    env, top = spark.sparkContext.environment, str(Path(__file__).parents[2])
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([top, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -1,11 +1,77 @@
-"""A corpus pipeline of five stages; see STAGES."""
+"""A corpus pipeline: toxicity, exact dedup, SimHash near-dedup, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame, which ``run`` writes as Parquet and reads again for the next stage. All but the last
+return the columns of ``documents``; the last returns the packed pieces.
+
+Defined results: rows are told apart by doc_id, a null doc_id being a value like any other; of
+repeated rows with one doc_id that a dedup stage keeps, one stays. Null texts count as empty and
+stay null. SQL cannot express the toxicity classifier, so there is no ORACLE_SQL; tests hold every
+stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausemine.llm.exact_dedup import exact_dedup
+from clausemine.llm.packing import pack
+from clausemine.llm.pii import redact
+from clausemine.llm.shared import importable, materialize, table
+from clausemine.llm.simhash_dedup import simhash_dedup
+from clausemine.llm.toxicity import ACCEPT, score_column, train_toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    score = score_column(train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score(F.coalesce("text", F.lit(""))) < ACCEPT)
+
+
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids, null included, one for each; texts move once, in the same way at every size."""
+    ids = ids.select(F.col("doc_id").alias("chosen_id"))
+    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    counted = docs.groupBy("doc_id").count().filter("count > 1")
+    return kept if counted.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one that exact dedup keeps stays."""
+    return chosen(docs, exact_dedup(docs).filter("kept").select("doc_id").distinct())
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return chosen(docs, simhash_dedup(docs).filter("doc_id <=> component_id").select("doc_id").distinct())
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as token pieces in sequences of 2048."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near-dedup", near_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
