@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import chunk_bpe, exact_dedup, packing, pii, quality, secrets, simhash_dedup, token_files, toxicity
+from . import chunk_bpe, embedding_dedup, exact_dedup, packing, pii, quality, secrets, simhash_dedup, token_files, toxicity
 from .shared import importable
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     for q in (
         pii.op1_pii,
         secrets.op2_secrets,
+        embedding_dedup.op3_embedding_dedup,
         exact_dedup.op4_exact_dedup,
         toxicity.op5_toxicity,
         simhash_dedup.op6_simhash_dedup,
