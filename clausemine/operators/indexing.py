@@ -1,0 +1,19 @@
+"""Numbering the rows of a group without gathering the group: by salt first, then by order in the salt."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def numbered(df: DataFrame, keys: list[str], salt: Column, salts: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``salt, local``, one row per group and salt with ``lo, hi``).
+
+    Row number lo + local runs from 0 over a group, ordered by (salt, order). Only the counts, at
+    most ``salts`` per group, are summed per group.
+    """
+    salted = df.withColumn("salt", salt % salts)
+    rows = salted.withColumn("local", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(*order)) - 1)
+    counts = salted.groupBy(*keys, "salt").agg(F.count("*").alias("n"))
+    hi = F.sum("n").over(Window.partitionBy(*keys).orderBy("salt"))
+    return rows, counts.withColumn("hi", hi).select(*keys, "salt", (F.col("hi") - F.col("n")).alias("lo"), "hi")
