@@ -32,7 +32,7 @@ LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",  # shorter runs fail the check
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -194,43 +194,56 @@ def decided(found: Column, model: dict[tuple[int, str], float], least: float = 0
     return F.filter(found, lambda s: s["base"] | F.concat(s["k"].cast("string"), s["votes"]).isin(accepted or [""]))
 
 
-def written(spans: Column, order: Column | None = None) -> Column:
+def written(spans: Column) -> Column:
     """kind:start:end, by kind as listed, then start."""
     name = F.array(*map(F.lit, KINDS))
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"))))
     return F.concat_ws(",", F.transform(keyed, lambda s: F.concat_ws(":", F.get(name, s["k"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def with_candidates(docs: DataFrame, name: str) -> DataFrame:
+    """Adds the candidates as a column of its own, so that no later expression searches a text again."""
+    return docs.withColumn(name, candidates(F.coalesce("text", F.lit("")))).withColumn(name, free(F.col(name)))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    rows = materialize(texts(docs).select("doc_id", free(candidates(F.col("text"))).alias("found")), "pii-candidates")
+    rows = materialize(with_candidates(texts(docs), "found").select("doc_id", "found"), "pii-candidates")
     model = fit(rows.select(F.explode("found").alias("s")).select("s.k", "s.votes"))
-    base, all_spans = F.filter("found", lambda s: s["base"]), decided(F.col("found"), model)
-    count = lambda k: F.size(F.filter("found", lambda s: s["base"] & (s["k"] == k))).cast("long")
+    rows = rows.withColumn("base", F.filter("found", lambda s: s["base"])).withColumn("all", decided(F.col("found"), model))
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return rows.select(
         "doc_id",
         *(count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)),
-        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
-        written(all_spans).alias("spans"),
-        (F.size(all_spans) - F.size(base)).cast("long").alias("n_added"),
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("all")).alias("spans"),
+        (F.size("all") - F.size("base")).cast("long").alias("n_added"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with every span's text replaced by its kind in angle brackets, and n_chars following."""
-    text = F.coalesce("text", F.lit(""))
-    model = fit(docs.select(F.explode(free(candidates(text))).alias("s")).select("s.k", "s.votes"))
+    """The same rows and columns with every span's text replaced by its kind in angle brackets, and n_chars, if there is one, following."""
+    found = "found"
+    while found in docs.columns:
+        found += "_"
+    rows = with_candidates(docs, found)
+    model = fit(rows.select(F.explode(found).alias("s")).select("s.k", "s.votes"))
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    spans = F.array_sort(F.transform(decided(free(candidates(text)), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    spans = F.array_sort(F.transform(decided(F.col(found), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<from:int,size:int,k:int>>)").alias("out"))
 
     def step(acc, s):
-        skip = s["start"] < acc["at"]  # it overlaps the span before: only what is left of it goes
-        put = F.when(skip, F.lit("")).otherwise(F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.get(name, s["k"])))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], put).alias("out"))
-
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
-    clean = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
-    return docs.withColumn("text", clean).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+        gap = F.struct(acc["at"].alias("from"), (s["start"] - acc["at"]).alias("size"), s["k"].alias("k"))
+        # a span that overlaps the one before only has its rest removed
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], gap)).alias("out"))
+
+    rows = rows.withColumn(found, F.when(F.size(found) > 0, F.aggregate(spans, start, step)))
+    kept = F.transform(F.col(found)["out"], lambda g: F.concat(F.substring("text", g["from"] + 1, g["size"]), F.get(name, g["k"])))
+    clean = F.concat(F.array_join(kept, ""), F.substring("text", F.col(found)["at"] + 1, F.char_length("text")))
+    rows = rows.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(clean))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return rows.select(*docs.columns)
 
 
 def op1_pii(spark, sf_dir):
