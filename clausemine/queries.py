@@ -1,4 +1,236 @@
-"""Registered graph queries and their SQL."""
+"""Registered graph queries over the order tables; their SQL is in ``oracle``.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Held-out links for ranking are a hash split of all pairs: one in twenty is a test link.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import EvaluationConfig, MinerConfig, RuleConfig, SamplerConfig, SamplingStrategy, WalkConfig, WalkStrategy
+from .functions import rule_columns as R
+from .operators.generalize import distinct_rules, generalize
+from .operators.metrics import METRICS, evaluate, evaluate_batch, top_rules
+from .operators.predict import chain_groups, ordered, predict, score_heads, score_tails, scores
+from .operators.ranking import link_metrics, ranks
+from .operators.reach import chains_of, reach
+from .operators.sampling import sample_triples
+from .operators.walks import enumerate_paths, random_walks
+from .oracle import ATTEMPTS, HOPS, SQL, TRIPLES
+from .plans.rule_miner import RuleMiner
+from .rules import Atom, Rule, RuleType, Term, rules_frame
+from .sources import knowledge_graph as kg
+
+X, Y = Term.variable("X", "customer"), Term.variable("Y", "supplier")
+HEAD = Atom("bought_from", X, Y)
+
+
+def over(*edge_types: kg.EdgeType, last: Term = Y) -> tuple[Atom, ...]:
+    """A body along edge types from X to the last term."""
+    inner = [Term.variable(f"Z{i}", t[2]) for i, t in enumerate(edge_types[:-1])]
+    ends = [X, *inner, last]
+    return tuple(Atom(t[1], a, b) for t, a, b in zip(edge_types, ends, ends[1:], strict=False))
+
+
+NATION_RULE = Rule(HEAD, over(kg.CUSTOMER_NATION, kg.NATION_SUPPLIER))
+PART_RULE = Rule(HEAD, over(kg.BOUGHT, kg.SUPPLIED))
+PEER_RULE = Rule(HEAD, over(kg.CUSTOMER_NATION, kg.NATION_CUSTOMER, kg.BOUGHT_FROM))
+AC2_SUBJECT = Rule(HEAD, over(kg.CUSTOMER_NATION, last=Term.variable("Z0", "nation")))
+AC2_OBJECT = Rule(HEAD, (Atom("supplied_by", Term.variable("Z0", "part"), Y),))
+BATCH = [NATION_RULE, PART_RULE, AC2_SUBJECT, AC2_OBJECT, PEER_RULE]
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def measured(df: DataFrame, *more: str) -> DataFrame:
+    return rounded(df, "confidence", "head_coverage").select(*more, *METRICS)
+
+
+def of_rules(*rules: Rule):
+    return lambda spark, d: measured(evaluate(kg.trade_graph(spark, d), rules_frame(spark, list(rules))))
+
+
+def grounded(graph: kg.KnowledgeGraph, rule: Rule, side: str) -> DataFrame:
+    """The rule with each node of the head's subject or object type as its constant."""
+    one = rules_frame(graph.spark, [rule]).select("head", "body")
+    node_type = (rule.head.subject if side == "subject" else rule.head.object).node_type
+    constant = R.constant(F.col("id"), F.lit(node_type))
+    head = R.atom(F.col("head.relation"), constant if side == "subject" else F.col("head.subject"), F.col("head.object") if side == "subject" else constant)
+    nodes = graph.nodes.filter(F.col("node_type") == node_type).select("id")
+    rows = nodes.join(F.broadcast(one)).select(F.col("id").alias("ord"), F.lit(str(RuleType.AC1)).alias("rule_type"), head.alias("head"), "body")
+    return R.with_keys(rows)
+
+
+def metrics_ac1(side: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        graph = kg.trade_graph(spark, d)
+        return measured(evaluate(graph, grounded(graph, NATION_RULE, side)).withColumn("entity_id", F.col("ord")), "entity_id")
+
+    return query
+
+
+def batch(graph: kg.KnowledgeGraph, config: RuleConfig, most: int | None = None) -> DataFrame:
+    return measured(evaluate_batch(graph, rules_frame(graph.spark, BATCH), config, most), "ord")
+
+
+def learned(graph: kg.KnowledgeGraph) -> DataFrame:
+    """The nation rule whole and with each supplier as its constant, with metrics."""
+    rules = rules_frame(graph.spark, [NATION_RULE])
+    return evaluate(graph, rules.unionByName(grounded(graph, NATION_RULE, "object")))
+
+
+def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
+    """(the graph without the test links, the test links)."""
+    graph = kg.trade_graph(spark, d)
+    is_test = (F.col("relation") == "bought_from") & ((F.col("src") * 31 + F.col("dst")) % 20 == 0)
+    held = graph.bag(kg.BOUGHT_FROM).filter(is_test).select(F.col("src").alias("head_id"), F.col("dst").alias("tail_id")).distinct()
+    tests = held.withColumn("test_id", F.struct("head_id", "tail_id"))
+    return kg.KnowledgeGraph(graph.nodes, graph.edges.filter(~is_test), graph.edge_types), tests
+
+
+def all_ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
+    graph, tests = split(spark, d)
+    scored = rounded(scores(graph, learned(graph)), "score")  # equal scores stay ties however they were multiplied
+    return ranks(graph, scored, tests, kg.BOUGHT_FROM, filtered).drop("test_id")
+
+
+def mrr_hits(filtered: bool):
+    return lambda spark, d: rounded(link_metrics(all_ranks(spark, d, filtered), EvaluationConfig(filter_known=filtered)), "mrr", "hits")
+
+
+def scored(spark: SparkSession, d: str, **options) -> DataFrame:
+    graph = kg.trade_graph(spark, d)
+    return rounded(predict(graph, learned(graph), **options), "score")
+
+
+def filtered_predictions(spark: SparkSession, d: str) -> DataFrame:
+    graph, _ = split(spark, d)
+    return rounded(predict(graph, learned(graph), filter_known=True), "score").select("head_id", "tail_id", "score")
+
+
+def sampled(strategy: SamplingStrategy, target=None):
+    return lambda spark, d: sample_triples(kg.trade_graph(spark, d), SamplerConfig(1000, strategy, 3, target))
+
+
+def shown_path() -> Column:
+    return F.concat_ws(" ", F.transform("path", lambda s: F.concat_ws(":", s["node_type"], s["entity_id"].cast("string"), s["relation"]))).alias("path")
+
+
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    """All paths of up to HOPS steps between the ends of sampled triples, with their triples."""
+    graph = kg.trade_graph(spark, d)
+    triples = sample_triples(graph, SamplerConfig(TRIPLES, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM))
+    return enumerate_paths(graph, triples, 1, HOPS).join(triples.select("draw_id", "relation", "head_type", "tail_type"), "draw_id")
+
+
+def walked(strategy: WalkStrategy):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        graph = kg.trade_graph(spark, d)
+        triples = sample_triples(graph, SamplerConfig(1000, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM))
+        return random_walks(graph, triples, WalkConfig(HOPS, 2, ATTEMPTS, strategy, 5)).select("draw_id", "attempt", shown_path())
+
+    return query
+
+
+def shown(*columns):
+    """Distinct rules of all paths, tautologies too, with columns made of head and body."""
+    rule = R.shown_rule(F.col("head"), F.col("body")).alias("rule")
+    return lambda spark, d: generalize(paths(spark, d), drop_tautologies=False).select(rule, *columns).distinct()
+
+
+def dedup(spark: SparkSession, d: str) -> DataFrame:
+    rules = distinct_rules(generalize(paths(spark, d)), ["draw_id", "variant"])
+    return rules.select(R.shown_rule(F.col("head"), F.col("body")).alias("rule"), F.col("ord.draw_id").alias("first_draw"))
+
+
+def named_graph(spark: SparkSession, d: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    nations = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lies = nations.select(F.lit("nation").alias("src_type"), F.col("n_name").alias("src_name"), F.lit("in_region").alias("relation"), F.lit("region").alias("dst_type"), F.col("r_name").alias("dst_name"))
+    sells = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("supplier").alias("src_type"), F.col("s_name").alias("src_name"), F.lit("in_nation").alias("relation"), F.lit("nation").alias("dst_type"), F.col("n_name").alias("dst_name"))
+    return kg.KnowledgeGraph.from_named_edges(lies.unionByName(sells)).edges
+
+
+def mined(spark: SparkSession, d: str) -> RuleMiner:
+    return RuleMiner(MinerConfig(sample_size=200, max_length=3, max_attempts=20, target_edge_type=kg.BOUGHT_FROM)).fit(kg.trade_graph(spark, d))
+
+
+def pipeline_fit(spark: SparkSession, d: str) -> DataFrame:
+    results = mined(spark, d).results
+    return measured(results.withColumn("rule", R.shown_rule(F.col("head"), F.col("body"))), "rule", "rule_type")
+
+
+def pipeline_predict(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mined(spark, d).predict(filter_known=True), "score")
+
+
+def pipeline_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    graph, tests = split(spark, d)
+    miner = RuleMiner(MinerConfig(sample_size=200, max_length=3, max_attempts=20, target_edge_type=kg.BOUGHT_FROM)).fit(graph)
+    return rounded(miner.evaluate_predictions(tests.select("head_id", "tail_id")), "mrr", "hits")
+
+
+def graph_query(f):
+    return lambda spark, d: f(kg.trade_graph(spark, d))
+
+
+QUERIES = {
+    "kg_node_counts": graph_query(lambda g: g.node_counts()),
+    "kg_edge_counts": graph_query(lambda g: g.edge_counts().drop("ordinal")),
+    "kg_total_edges": graph_query(lambda g: g.total_edges()),
+    "kg_catalog": graph_query(lambda g: g.catalog),
+    "kg_outgoing_types": graph_query(lambda g: g.outgoing_types().drop("ordinal", "edge_count")),
+    "kg_neighbors": graph_query(lambda g: g.neighbors(7, kg.NATION_CUSTOMER)),
+    "kg_edge_bag": graph_query(lambda g: g.bag(kg.BOUGHT_FROM).groupBy("src", "dst").agg(F.count("*").alias("copies"))),
+    "kg_adjacency_distinct": graph_query(lambda g: g.adjacency(kg.BOUGHT_FROM)),
+    "kg_dangling": graph_query(lambda g: g.dangling()),
+    "kg_named_ids": named_graph,
+    "kg_activity_edges": lambda spark, d: kg.activity_graph(spark, d).edges.groupBy("relation").agg(F.count("*").alias("edge_count"), F.count_distinct("src", "dst").alias("pairs")),
+    "kg_synthetic": lambda spark, d: kg.synthetic_graph(spark, 500).edges.groupBy("relation").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.count_distinct("src", "dst").alias("pairs")),
+    "chain_reach_2hop": graph_query(lambda g: reach(g, chains_of(rules_frame(g.spark, [PART_RULE]))).drop("chain_key")),
+    "chain_reach_3hop": graph_query(lambda g: reach(g, chains_of(rules_frame(g.spark, [PEER_RULE]))).drop("chain_key")),
+    "metrics_cyclic": of_rules(NATION_RULE),
+    "metrics_cyclic_parts": of_rules(PART_RULE),
+    "metrics_ac1_subject": metrics_ac1("subject"),
+    "metrics_ac1_object": metrics_ac1("object"),
+    "metrics_ac2_subject": of_rules(AC2_SUBJECT),
+    "metrics_ac2_object": of_rules(AC2_OBJECT),
+    "metrics_batch_thresholds": graph_query(lambda g: batch(g, RuleConfig(2, 0.3255, 0.03))),
+    "metrics_batch_max_results": graph_query(lambda g: batch(g, RuleConfig(2, 0.01, 0.01), 3)),
+    "top_rules": graph_query(lambda g: measured(top_rules(evaluate(g, rules_frame(g.spark, BATCH)), 3), "ord")),
+    "noisy_or_confidence": lambda spark, d: rounded(spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").cast("long").alias("l_suppkey")).agg(R.noisy_or(F.col("l_discount").cast("double") / 10).alias("score")), "score"),
+    "chain_groups": graph_query(lambda g: rounded(chain_groups(learned(g)), "confidence").drop("chain_key")),
+    "predict_all": scored,
+    "predict_filter_known": filtered_predictions,
+    "predict_min_score": lambda spark, d: scored(spark, d, min_score=0.55).select("head_id", "tail_id", "score"),
+    "top_predictions": lambda spark, d: ordered(scored(spark, d)).select("head_id", "tail_id", "score").limit(20),
+    "score_tails_dense": graph_query(lambda g: rounded(score_tails(g, learned(g), 1), "score")),
+    "score_heads_dense": graph_query(lambda g: rounded(score_heads(g, learned(g), 1), "score")),
+    "tail_ranks_filtered": lambda spark, d: all_ranks(spark, d, True).filter("side = 'tail'"),
+    "head_ranks_filtered": lambda spark, d: all_ranks(spark, d, True).filter("side = 'head'"),
+    "ranks_raw": lambda spark, d: all_ranks(spark, d, False),
+    "mrr_hits_filtered": mrr_hits(True),
+    "mrr_hits_raw": mrr_hits(False),
+    "sample_uniform": sampled(SamplingStrategy.UNIFORM),
+    "sample_relation_proportional": sampled(SamplingStrategy.RELATION_PROPORTIONAL),
+    "sample_relation_inverse": sampled(SamplingStrategy.RELATION_INVERSE),
+    "sample_target_type": sampled(SamplingStrategy.UNIFORM, kg.BOUGHT_FROM),
+    "walk_enumerate_paths": lambda spark, d: paths(spark, d).select("draw_id", shown_path()),
+    "walk_uniform": walked(WalkStrategy.UNIFORM),
+    "walk_relation_weighted": walked(WalkStrategy.RELATION_WEIGHTED),
+    "generalize_rules": lambda spark, d: generalize(paths(spark, d)).select("draw_id", shown_path(), "variant", R.shown_rule(F.col("head"), F.col("body")).alias("rule")),
+    "classify_rules": lambda spark, d: shown("rule_type")(spark, d),
+    "tautology_filter": lambda spark, d: shown(R.tautological(F.col("head"), F.col("body")).alias("tautological"))(spark, d),
+    "rule_strings": lambda spark, d: shown(F.size("body").alias("length"))(spark, d),
+    "rule_variables": lambda spark, d: shown(F.concat_ws(",", R.variables(F.col("head"), F.col("body"))).alias("variables"))(spark, d),
+    "rule_constants": lambda spark, d: shown(F.concat_ws(",", R.constants(F.col("head"), F.col("body"))).alias("constants"))(spark, d),
+    "dedup_rules": dedup,
+    "pipeline_fit": pipeline_fit,
+    "pipeline_predict": pipeline_predict,
+    "pipeline_evaluate": pipeline_evaluate,
+}
+
+__all__ = ["QUERIES", "SQL"]
