@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import RuleConfig
 from ..functions.rule_columns import signature
 from ..sources.knowledge_graph import EDGE_COLUMNS, TYPE, KnowledgeGraph
+from ..sources.storage import stored
 from .reach import chains_of, check_types, connected, reach
 
 METRICS = ["support", "confidence", "head_coverage", "num_predictions"]
@@ -38,21 +39,23 @@ def connected_side(head: Column, body: Column) -> Column:
 
 def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
     """The rules with their metrics, a row each. Unknown edge types in a body or head raise ValueError."""
+    rules = stored(rules, "rules")  # each part below reads the rules again
     check_types(graph, chains_of(rules))
     check_types(graph, rules.select(F.array(signature(F.col("head"))).alias("hops")))
     keyed = rules.select("*", signature(F.col("head")).alias("h"), connected_side(F.col("head"), F.col("body")).alias("side")).select("*", "h.*").drop("h")
-    group = ["chain_key", *TYPE]
-    flagged = flagged_reach(graph, rules.filter("rule_type <> 'ac2'"))
-    counted = lambda *by: flagged.groupBy(*group, *by).agg(F.count("*").alias("preds"), F.sum("known").alias("hits"))
-    cyclic = keyed.filter("rule_type = 'cyclic'").join(counted(), group, "left")
+    group, columns = ["chain_key", *TYPE], [*rules.columns, *TYPE, "preds", "hits"]
+    kinds = {r["rule_type"] for r in rules.select("rule_type").distinct().collect()}  # three at most
+    counts = ac2_counts(graph, keyed.filter("rule_type = 'ac2'")).select(*columns) if "ac2" in kinds or not kinds else None
+    if kinds - {"ac2"}:
+        flagged = stored(flagged_reach(graph, rules.filter("rule_type <> 'ac2'")), "flagged-reach")
     subject, obj = F.col("head.subject.entity_id"), F.col("head.object.entity_id")
-    ac1 = keyed.filter("rule_type = 'ac1'")
-    on = lambda side: counted(side).withColumnRenamed(side, "entity")
-    by_subject = ac1.filter(subject.isNotNull()).withColumn("entity", subject).join(on("src"), [*group, "entity"], "left")
-    by_object = ac1.filter(subject.isNull()).withColumn("entity", obj).join(on("dst"), [*group, "entity"], "left")
-    columns = [*rules.columns, *TYPE, "preds", "hits"]
-    ac2 = ac2_counts(graph, keyed.filter("rule_type = 'ac2'")).select(*columns)
-    counts = cyclic.select(*columns).unionByName(by_subject.select(*columns)).unionByName(by_object.select(*columns)).unionByName(ac2)
+    for kind, which, entity, side in (("cyclic", F.lit(True), None, None), ("ac1", subject.isNotNull(), subject, "src"), ("ac1", subject.isNull(), obj, "dst")):
+        if kind in kinds:
+            by, key = ([], group) if side is None else ([F.col(side).alias("entity")], [*group, "entity"])
+            counted = flagged.groupBy(*group, *by).agg(F.count("*").alias("preds"), F.sum("known").alias("hits"))
+            some = keyed.filter((F.col("rule_type") == kind) & which)
+            some = (some if side is None else some.withColumn("entity", entity)).join(counted, key, "left").select(*columns)
+            counts = some if counts is None else counts.unionByName(some)
     heads = graph.edge_counts().select(*TYPE, "edge_count")
     preds, hits = F.coalesce("preds", F.lit(0)), F.when(F.coalesce("preds", F.lit(0)) > 0, F.coalesce("hits", F.lit(0))).otherwise(0)
     return counts.join(F.broadcast(heads), TYPE, "left").select(

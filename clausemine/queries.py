@@ -21,6 +21,7 @@ from .oracle import ATTEMPTS, HOPS, SQL, TRIPLES
 from .plans.rule_miner import RuleMiner
 from .rules import Atom, Rule, RuleType, Term, rules_frame
 from .sources import knowledge_graph as kg
+from .sources.storage import stored
 
 X, Y = Term.variable("X", "customer"), Term.variable("Y", "supplier")
 HEAD = Atom("bought_from", X, Y)
@@ -79,7 +80,7 @@ def batch(graph: kg.KnowledgeGraph, config: RuleConfig, most: int | None = None)
 def learned(graph: kg.KnowledgeGraph) -> DataFrame:
     """The nation rule whole and with each supplier as its constant, with metrics."""
     rules = rules_frame(graph.spark, [NATION_RULE])
-    return evaluate(graph, rules.unionByName(grounded(graph, NATION_RULE, "object")))
+    return stored(evaluate(graph, rules.unionByName(grounded(graph, NATION_RULE, "object"))), "learned")
 
 
 def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
@@ -93,7 +94,7 @@ def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
 
 def all_ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
     graph, tests = split(spark, d)
-    scored = rounded(scores(graph, learned(graph)), "score")  # equal scores stay ties however they were multiplied
+    scored = stored(rounded(scores(graph, learned(graph)), "score"), "scores")  # equal scores stay ties however they were multiplied
     return ranks(graph, scored, tests, kg.BOUGHT_FROM, filtered).drop("test_id")
 
 
@@ -122,7 +123,7 @@ def shown_path() -> Column:
 def paths(spark: SparkSession, d: str) -> DataFrame:
     """All paths of up to HOPS steps between the ends of sampled triples, with their triples."""
     graph = kg.trade_graph(spark, d)
-    triples = sample_triples(graph, SamplerConfig(TRIPLES, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM))
+    triples = stored(sample_triples(graph, SamplerConfig(TRIPLES, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM)), "triples")
     return enumerate_paths(graph, triples, 1, HOPS).join(triples.select("draw_id", "relation", "head_type", "tail_type"), "draw_id")
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 EdgeType = tuple[str, str, str]
 TYPE = ["src_type", "relation", "dst_type"]
 EDGE_SCHEMA = "src_type string, relation string, dst_type string, src long, dst long"
@@ -141,6 +143,10 @@ class KnowledgeGraph:
         src, dst = self.nodes.toDF("src_type", "src"), self.nodes.toDF("dst_type", "dst")
         return self.edges.join(src, ["src_type", "src"], "left_anti").select(*EDGE_COLUMNS).unionByName(self.edges.join(dst, ["dst_type", "dst"], "left_anti").select(*EDGE_COLUMNS))
 
+    def written(self) -> KnowledgeGraph:
+        """The same graph on written tables, a folder for each edge type, so that a chain reads its own types alone."""
+        return KnowledgeGraph(stored(self.nodes, "nodes", ["node_type"]), stored(self.edges, "edges", TYPE), self.edge_types)
+
     def without(self, held: DataFrame) -> KnowledgeGraph:
         """The graph without these ``(type, src, dst)`` edges."""
         return KnowledgeGraph(self.nodes, self.edges.join(held, EDGE_COLUMNS, "left_anti").select(*EDGE_COLUMNS), self.edge_types)
@@ -175,7 +181,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
         SUPPLIED: read("lineitem", "l_partkey", "l_suppkey"),
         BOUGHT_FROM: sold.select("o_custkey", "l_suppkey"),
     }
-    return KnowledgeGraph.from_parts(spark, nodes, edges)
+    return KnowledgeGraph.from_parts(spark, nodes, edges).written()
 
 
 def activity_graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
