@@ -144,7 +144,7 @@ def walks(hops: int, least: int, random: str | None, attempts: int = 1, seed: in
     return ",\n".join(out)
 
 
-SHOWN_PATH = "array_to_string(list_transform(path, lambda s: concat_ws(':', s.t, s.id, s.rel)), ' ')"
+SHOWN_PATH = "array_to_string(list_transform(path, lambda st: concat_ws(':', st.t, st.id, st.rel)), ' ')"
 
 #: Rules of all paths, three to a path, as text.
 GENERAL = """named AS (
