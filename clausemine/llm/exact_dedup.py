@@ -28,12 +28,13 @@ WHITE = r"[\x20\x09-\x0D]+"
 FIRST_DIGIT, WIDEN = 64, 16
 
 
-def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = WIDEN) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = WIDEN, row: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and ``row``, if a column of unique longs is named."""
     norm = F.regexp_replace("text", WHITE, "")
-    rows = texts(docs).select(
+    key = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = texts(docs, key.alias("row")).select(
         "doc_id",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.char_length("text").cast("long").alias("points"),
         F.sha2(norm.cast("binary"), 256).alias("sha"),
         F.lit(0).cast("long").alias("grp"),
@@ -67,6 +68,7 @@ def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = WI
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("row") == F.col("best.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([] if row is None else [F.col("row").alias(row)]),
     )
 
 

@@ -57,15 +57,17 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed long, and ``row``, if a column of unique longs is named."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             fp = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    if row is None:
+        return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, F.col(row).alias("row")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 class Covering:
@@ -194,17 +196,21 @@ def links(unique: DataFrame, layout: int, threshold: int = THRESHOLD, part: int
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, layout: int | None = None, part: int = PART) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = materialize(fingerprints(docs, size), "fingerprints")
+def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, layout: int | None = None, part: int = PART, row: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+
+    If a column of unique longs is named as ``row``, it and ``component`` (a fingerprint, one per component) follow.
+    """
+    rows = materialize(fingerprints(docs, size, row), "fingerprints")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     layout = layout_for(unique.count()) if layout is None else layout
     found = components(links(unique, layout, threshold, part))
     joined = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = materialize(joined, "fp-components")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = joined.join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = joined.join(least, "component").select("fp", "component", "component_id")
+    more = [] if row is None else [F.col("row").alias(row), "component"]
+    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
 
 
 def op6_simhash_dedup(spark, sf_dir):

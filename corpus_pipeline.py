@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 DataFrame, which ``run`` writes as Parquet and reads again for the next stage. All but the last
 return the columns of ``documents``; the last returns the packed pieces.
 
-Defined results: rows are told apart by doc_id, a null doc_id being a value like any other; of
-repeated rows with one doc_id that a dedup stage keeps, one stays. Null texts count as empty and
-stay null. SQL cannot express the toxicity classifier, so there is no ORACLE_SQL; tests hold every
+Defined results: rows are told apart by a number that a dedup stage gives each of its input rows,
+so null or repeated doc_ids cost no text: of each group exactly one row stays, whatever its doc_id.
+Null texts count as empty and stay null. SQL cannot express the toxicity classifier, so there is no ORACLE_SQL; tests hold every
 stage against a brute-force version.
 """
 
@@ -30,22 +30,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.filter(score(F.coalesce("text", F.lit(""))) < ACCEPT)
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, null included, one for each; texts move once, in the same way at every size."""
-    ids = ids.select(F.col("doc_id").alias("chosen_id"))
-    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    counted = docs.groupBy("doc_id").count().filter("count > 1")
-    return kept if counted.isEmpty() else kept.dropDuplicates(["doc_id"])
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, written so that it stays the same, and the name of its column."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def chosen(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """The documents of these rows; texts move once, in the same way at every size."""
+    return docs.join(rows.select(key).hint("merge"), key, "left_semi").drop(key)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one that exact dedup keeps stays."""
-    return chosen(docs, exact_dedup(docs).filter("kept").select("doc_id").distinct())
+    docs, key = numbered(docs)
+    return chosen(docs, key, exact_dedup(docs, row=key).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return chosen(docs, simhash_dedup(docs).filter("doc_id <=> component_id").select("doc_id").distinct())
+    """Of each group of near copies the row with the smallest doc_id stays; a null one is the largest, the first of equal ones stays."""
+    docs, key = numbered(docs)
+    first = F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias(key)
+    return chosen(docs, key, simhash_dedup(docs, row=key).groupBy("component").agg(first))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,6 +108,21 @@ def test_exact_and_near_stage(spark, docs, rows):
     assert Counter(d for d, _ in as_pairs(near)) == Counter(least.values())
 
 
+def test_dedup_stages_keep_texts_of_null_and_repeated_ids(spark, frame):
+    """One row per distinct text stays, with the doc_id that stands on it, though the ids are null or repeated."""
+    rng = random.Random(23)
+    a, b, c, d, e = (" ".join(f"{rng.randrange(10**9)}" for _ in range(30)) for _ in range(5))
+    pairs = [(None, a), (None, b), (None, b), (5, c), (5, d), (4, d), (6, e), (6, e), (6, c + " ")]
+    want = Counter([(None, a), (None, b), (4, d), (6, e), (6, c + " ")])
+    docs = frame(pairs)
+    first = corpus_pipeline.exact_stage(spark, docs, DATA)
+    assert first.columns == docs.columns
+    assert Counter(as_pairs(first)) == want
+    near = corpus_pipeline.near_stage(spark, docs, DATA)
+    assert near.columns == docs.columns
+    assert Counter(as_pairs(near)) == Counter([(None, a), (None, b), (5, c), (4, d), (6, e)])
+
+
 def test_pii_stage_redacts_and_keeps_rows(spark, docs, rows):
     out = corpus_pipeline.pii_stage(spark, docs, DATA)
     assert out.columns == docs.columns
