@@ -5,8 +5,9 @@ strict match covers. It belongs to the narrowest character class that holds it:
 digits, or base64. A window of 20 characters slides over it; per step only the counts of the
 character that leaves and the one that enters change, and with them the sum of c*log2(c), from which
 the window's Shannon entropy follows. A candidate whose highest window reaches its class's threshold is
-a secret unless the allow-list suppresses it (ids of known form, paths, dotted numbers, repetitive or
-word-like runs, checksum fields).
+a secret unless the allow-list suppresses it (ids of known form, dotted numbers, word-like runs,
+checksum fields). Of a candidate that begins as a lower-case path, the windows inside that path do not
+count, all others do; repetitive runs need no rule, as their windows stay below every threshold.
 
 Everything is DataFrame functions in one pass over the rows, no shuffle.
 
@@ -35,13 +36,16 @@ CLASSES = (
     ("upper", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5),
     ("base64", "^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 )
-#: Allow-list, fixed values: forms that look random and are no secrets.
+#: A word or number of a path, and a part of it: shorter than a window, or words and numbers, or digits alone, or an id.
+STEP = "(?:[a-z]++[0-9]{0,4}+|[0-9]{1,4}+)"
+PART = rf"(?:(?![a-z0-9_-]{{{WINDOW}}})[a-z0-9_-]++|{STEP}(?:[_-]{STEP})*+|[0-9_-]++|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})"
+#: The lower-case path that a candidate begins with. Groups are possessive here and below, as Java recurses once per repeat of others.
+PATH = f"^/?(?:{PART}/){{2,}}+(?:{PART}$)?+"
+#: Allow-list, fixed values: forms of a whole candidate that look random and are no secrets.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^(.{1,4})\1{4,}",
-    r"^/?([a-z0-9_-]+/){2,}",
-    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+    r"^[A-Za-z]++(?:[_-][A-Za-z]++)*+[_-]?[0-9]{1,4}$",
     r"(?i)^sha(1|256|512)[-_=]",
 )
 ALLOWED_BEFORE = r"(?i)(sha-?1|sha-?256|sha-?512|md5|checksum|integrity|commit|revision|etag)\W{0,4}$"
@@ -102,10 +106,16 @@ def entropy_spans(text: Column, base: Column, window: int = WINDOW) -> Column:
     before = lambda s: F.substring(text, F.greatest(F.lit(1), s["start"] - 15), F.least(s["start"], F.lit(16)))
     found = F.filter(found, lambda s: ~allowed(s["match"]) & ~before(s).rlike(ALLOWED_BEFORE))
 
+    path = lambda s: F.char_length(F.regexp_extract(s["match"], PATH, 0))
+    rest = lambda s: F.substring(s["match"], F.greatest(F.lit(1), path(s) - window + 2), F.char_length(s["match"]))
+    found = F.filter(found, lambda s: path(s) < F.char_length(s["match"]))
+    # a field of its own: what is judged, all windows that leave the path, is cut out once and not for each step
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), rest(s).alias("rest")))
+
     def random(s):
         verdict = F.lit(False)
         for _, pattern, letters, least in reversed(CLASSES):
-            verdict = F.when(s["match"].rlike(pattern), window_entropy(s["match"], letters, window) >= least).otherwise(verdict)
+            verdict = F.when(s["match"].rlike(pattern), window_entropy(s["rest"], letters, window) >= least).otherwise(verdict)
         return verdict
 
     return tagged(F.filter(found, random), "entropy")

@@ -90,6 +90,14 @@ def test_entropy_finds_random_strings_and_spares_the_allow_list(frame):
     assert [out[i].n_entropy for i in (2, 3, 4, 5)] == [0, 0, 0, 0]
 
 
+def test_allow_list_excuses_no_more_than_its_form(frame):
+    token = "Zq8rT2xLw9Vb4NcY7mKp3sHd"
+    secret = [f"https://hooks.example.com/services/T01ABCDEF/B01ABCDEF/{token}", "ab" * 5 + token, f"a/b/{token.lower()}/list", "one/" * 3000 + token]
+    plain = ["ab" * 5 + "cd1" * 9, "a1/" * 4000, "ab_" * 8000 + "x1", "ab_1" * 1000, "docs/top-10-places-to-visit-2019/index", "v1/users/123e4567-e89b-12d3-a456-426614174000/posts"]
+    got = {r.doc_id: r.n_entropy for r in secret_scan(frame(list(enumerate(secret + plain)))).collect()}
+    assert [got[i] for i in range(len(got))] == [1] * len(secret) + [0] * len(plain)
+
+
 def test_window_entropy_is_the_highest_of_all_windows(spark):
     import math
 
