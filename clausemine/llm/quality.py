@@ -30,10 +30,16 @@ from .shared import materialize, table
 from .toxicity import TRAIN_ROWS, held_out, logistic, sigmoid, training_rows
 
 ACCEPT = 0.5
+BLOCK = 400
 ODD = re.compile(r"[^\w\s.,;:'\"?!-]")
 RUNS = re.compile(r"([^\w\s])\1{1,}")
 
 
+def repeats(words: list[str], block: int = BLOCK) -> float:
+    """The share of words that stand before in their block, over consecutive blocks that cover the whole text."""
+    return 1 - sum(len(set(words[k : k + block])) for k in range(0, len(words), block)) / len(words)
+
+
 def shape(text: str) -> list[float]:
     """What the classifier sees of a text; every entry is bounded."""
     words = text.split()
@@ -51,7 +57,7 @@ def shape(text: str) -> list[float]:
         sum(map(str.isupper, words)) / n,
         repeated,
         counts.most_common(1)[0][1] / n if n > 5 else 0.0,
-        1 - len(counts) / n if n < 400 else 1 - len(set(words[:: n // 400])) / len(words[:: n // 400]),
+        repeats(words),
         min(1.0, len(text) / n / 20),
         1 - len(set(lines)) / len(lines),
         float(np.log1p(n) / 12),

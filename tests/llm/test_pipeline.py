@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from clausemine.llm.packing import SIZE
 from clausemine.llm.pii import redact
-from clausemine.llm.quality import quality
+from clausemine.llm.quality import quality, shape
 from clausemine.llm.toxicity import ACCEPT, toxicity
 from test_dedup import classes, exact_brute, simhash_brute
 
@@ -80,6 +80,20 @@ def test_quality_on_held_out_rows(spark):
     assert sum(p == y for p, y in outside) / len(outside) > share
 
 
+def test_share_of_repeated_words_sees_every_word():
+    """A text whose period divides a stride, and repeats that stand between chosen places, at any length."""
+    index = 7
+    varied = [f"w{i}" for i in range(20_000)]
+    assert shape(" ".join(varied))[index] == 0
+    lines = [w for i in range(2000) for w in (f"a{i}", "same", *(f"b{i}.{j}" for j in range(8)))]
+    by_length = [shape(" ".join(lines[:n]))[index] for n in (400, 2000, 20_000)]
+    assert by_length == pytest.approx([39 / 400] * 3)
+    assert shape(" ".join(lines[1:]))[index] == pytest.approx(39 / 400, abs=1e-4)
+    between = list(varied)
+    between[1::50] = ["same"] * 400
+    assert shape(" ".join(between))[index] == pytest.approx(7 / 400)
+
+
 def test_quality_of_odd_rows(docs, rows, labels):
     got = quality(docs, labels, F.lit(None), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
