@@ -8,8 +8,9 @@
    for voters whose votes still correlate within a class: each of them weighs one over their number. Expectation-maximisation estimates each voter's rates and each document's posterior.
 3. A logistic regression on the votes and on hit counts is fitted to the posteriors and scores all texts.
 
-Labelled documents used: at most ``TRAIN_ROWS`` in hash order, so what reaches the driver is bounded
-(each as a short list of votes); scoring covers every row and whole texts.
+Labelled documents used: at most ``TRAIN_ROWS`` rows in hash order, so what reaches the driver is bounded
+(each as a short list of votes). Equal rows count once, and each doc_id gives its first text before any
+gives a second; scoring covers every row and whole texts.
 
 Defined results: null or empty text is scored like any other (no votes); a null doc_id is not held
 out and never labelled; labels without a value are ignored, of repeated labels the highest counts;
@@ -26,10 +27,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table, texts
+from .shared import materialize, table, texts
 
 TRAIN_ROWS = 20_000
 MOST_VOTERS = 400
@@ -45,11 +46,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` labelled documents that are not held out, in hash order."""
+    """``doc_id, text, y`` of at most ``rows`` labelled documents that are not held out, in hash order, as a written table.
+
+    Of a doc_id with several texts the first ones by hash, one of every doc_id before a second of any.
+    """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return texts(docs).join(F.broadcast(chosen), "doc_id")
+    known = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("print", F.xxhash64("text"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("print"))
+    few = known.select("doc_id", "print").distinct().withColumn("turn", turn).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = known.join(F.broadcast(few.drop("turn")), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    return materialize(found.select("doc_id", "text", "y"), "training")
 
 
 @dataclass

@@ -14,7 +14,7 @@ import corpus_pipeline
 from clausemine.llm.packing import SIZE
 from clausemine.llm.pii import redact
 from clausemine.llm.quality import quality, shape
-from clausemine.llm.toxicity import ACCEPT, toxicity
+from clausemine.llm.toxicity import ACCEPT, toxicity, training_rows
 from test_dedup import classes, exact_brute, simhash_brute
 
 DATA = "/root/testdata/sf0.001"
@@ -94,6 +94,16 @@ def test_share_of_repeated_words_sees_every_word():
     assert shape(" ".join(between))[index] == pytest.approx(7 / 400)
 
 
+def test_training_rows_are_bounded_though_a_labelled_id_repeats(frame, labels, known):
+    hot = next(d for d, _, _ in known if d > 1 and zlib.crc32(str(d).encode()) % 3 != 1)
+    ids = {d for d, _, _ in known if zlib.crc32(str(d).encode()) % 3 != 1}
+    docs = frame([(d, t) for d, t, _ in known] + [(hot, f"other text {i % 500}") for i in range(1500)])
+    got = as_pairs(training_rows(docs, labels, "toxic", 300))
+    assert len(got) == 300 and {d for d, _ in got} == ids if len(ids) <= 300 else len(got) == 300 == len({d for d, _ in got})
+    every = as_pairs(training_rows(docs, labels, "toxic", 5000))
+    assert len(every) == len(set(every)) == len(ids) + 500
+
+
 def test_quality_of_odd_rows(docs, rows, labels):
     got = quality(docs, labels, F.lit(None), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
