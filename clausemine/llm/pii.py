@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
-Candidates are the base matches (email, ip, card, phone) and looser ones: written-out emails, and digit
-groups that could be a phone or card number. On each candidate three kinds of labelers vote yes, no
+Candidates are the base matches (email, ip, card, phone) that pass their check and looser ones: written-out
+emails, and phone numbers in one North American form. There are no looser cards or ips, so for these two
+kinds nothing is added, and the regex never votes no. On each candidate three kinds of labelers vote yes, no
 or nothing: the regex (did the strict pattern and its check accept), gazetteers (known domain endings,
 card issuers, reserved address ranges, calling codes) and context (cue words before the span, what
 touches it). The votes are counted over all candidates of all documents; expectation-maximisation on
