@@ -7,11 +7,11 @@ so every join is repaired: the text around it is encoded anew, between places a
 and the window widens until its outer ids agree with those of the chunks. What lies between two
 windows is taken from the chunks as it is.
 
-Reuse is held per Python worker in a memory of bounded size, not in a table of all chunks: that
-would move every text through a shuffle to save less work than it costs.
+Reuse is held per Python worker in two generations of chunks of bounded size, not in a table of all chunks: that
+would move every text through a shuffle to save less work than it costs (figures in the README).
 
-Defined results: null or empty text gives no ids; texts of one long word, with special tokens or
-unusual white space are encoded whole; rows are independent, so repeated rows, null doc_ids and
+Defined results: null or empty text gives no ids; a chunk without places where a word begins is part of the window
+around it, so a text of one long word is encoded whole; the text of a special token divides a text; rows are independent, so repeated rows, null doc_ids and
 empty tables need nothing special; other columns are ignored.
 """
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import table, texts
-from .tokens import WordEncoder, encoder, in_slices
+from .tokens import UNUSUAL_SPACE, WordEncoder, byte_of_char, encoder, in_slices
 
 WINDOW, ZERO_BITS, SHORTEST, LONGEST = 32, 10, 256, 8192
 ENDS = 4
 KNOWN_BYTES = 48 << 20
-BREAK = re.compile(r"(?<=[^ \n\t\r])[ \n\t\r]")
+BREAK = re.compile(rf"(?<=[^ \n\t\r{UNUSUAL_SPACE}])[ \n\t\r]")
 #: One pseudo-random 32-bit number for each byte.
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 
@@ -88,31 +88,46 @@ class ChunkEncoder:
             self.bytes[i] = token.encode() if token in words.special else bytes(back[c] for c in token)
         self.sizes = np.array([len(b) for b in self.bytes])
         self.decimal = [str(i) for i in range(len(self.bytes))]
-        self.known: dict[str, Chunk] = {}
-        self.held = 0
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+        self.held = self.met = self.found = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.words.encode([text])[0], self.words.dtype)
 
+    def _chunks(self, batch: list[list[str]]) -> list[list[Chunk]]:
+        """The chunks of each text; those that no text had before are encoded together."""
+        wanted = {p for parts in batch for p in parts}
+        self.met += sum(map(len, batch))
+        if self.held > KNOWN_BYTES // 2:  # two generations, so what is still in use stays
+            self.old, self.young, self.held = self.young, {}, 0
+        new = []
+        for p in wanted - self.young.keys():
+            if p in self.old:
+                self.young[p] = self.old[p]
+            else:
+                new.append(p)
+            self.held += 3 * len(p) + 300
+        self.found += len(new)
+        for p, raw in zip(new, self.words.encode(new), strict=True):
+            self.young[p] = Chunk(p, np.frombuffer(raw, self.words.dtype), self.sizes)
+        return [[self.young[p] for p in parts] for parts in batch]
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the text of a special token divides a text and is its own id."""
+        divided = [self.words.specials.split(t) if self.words.has_special(t) else [t] for t in batch]
         cut = []
-        for t in batch:
-            if self.words._split(t) is None:
-                cut.append(None)
-                continue
+        for t in (t for parts in divided for t in parts[::2]):
             data, last, parts = t.encode(), 0, []
             for end in cut_points(data):
                 parts.append(data[last:end].decode())
                 last = end
             cut.append(parts)
-        new = list({p for parts in cut if parts for p in parts if p not in self.known})
-        if self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
-            new = list({p for parts in cut if parts for p in parts})
-        for p, raw in zip(new, self.words.encode(new), strict=True):
-            self.known[p] = Chunk(p, np.frombuffer(raw, self.words.dtype), self.sizes)
-            self.held += 3 * len(p) + 300
-        return [np.frombuffer(self.words.whole(t), self.words.dtype) if parts is None else self._joined([self.known[p] for p in parts]) for t, parts in zip(batch, cut, strict=True)]
+        joined = map(self._joined, self._chunks(cut))
+        special = self.words.special
+        one = lambda k, p: np.array([special[p]], self.words.dtype) if k % 2 else next(joined)
+        out = [[one(k, p) for k, p in enumerate(parts)] for parts in divided]
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
 
     def _joined(self, chunks: list[Chunk]) -> np.ndarray:
         out, i = [], 0
@@ -150,13 +165,6 @@ class ChunkEncoder:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves and the rest, in order, from U+0100 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 _chunkers: dict[str, ChunkEncoder] = {}
 
 

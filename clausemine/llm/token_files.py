@@ -3,14 +3,18 @@
 A file set is a folder of blocks in a Parquet container, written and committed by Spark. A block
 holds the concatenated ids of consecutive documents (little-endian, two bytes where the vocabulary
 allows it) and the Elias-Fano code of the documents' end positions: low bits packed, high bits in
-unary, and every 64th select position. Nothing in it is a 64-bit offset; a boundary costs about
-2 + log2(mean length) bits. Blocks are numbered by shard (a range of doc_ids) and by place in it;
-a document's place among all ids is its place in the block plus the ids of the blocks before.
+unary, and every 64th select position. A boundary costs about 2 + log2(mean length) bits. The doc_ids of
+a block ascend and are kept in the same way, above the first of them. Blocks are numbered by shard (a range
+of doc_ids) and by place in it; a document's place among all ids is its place in the block, which
+select gives, plus the ids of the blocks before.
+
+Texts are dealt by range of doc_id, so that one Python pass encodes a shard and writes it. Shards are
+about ``shard_bytes`` of text each; a shard is streamed, so its size does not bound memory.
 
 Defined results: null or empty text gives no ids but the end id; null doc_ids come first; rows with
-equal doc_id follow each other, ordered by their ids; an empty table gives an empty file set; other
-columns are ignored. Rows with one doc_id share a shard and are streamed, so they are bounded in
-memory however many there are.
+equal doc_id follow each other, ordered by a hash of their texts, and may spread over shards, so that a
+doc_id of very many rows is no single task; an empty table gives an empty file set; other
+columns are ignored; very long texts are blocks of their own.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,29 +33,36 @@ from .shared import shared_dir, table, texts
 from .tokens import encoder, in_slices
 
 SAMPLE = 64
-BLOCK_IDS = 1 << 20
-BLOCK_SCHEMA = "shard int, ids_before long, n_docs int, n_ids long, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, selects binary"
+BLOCK_IDS, SHARD_BYTES = 1 << 20, 16 << 20
+CODE = "low_bits int, low binary, high binary, selects binary"
+BLOCK_SCHEMA = "shard int, ids_before long, n_docs int, n_ids long, ids binary, " + CODE + ", n_null int, first_doc long, doc_low_bits int, doc_low binary, doc_high binary, doc_selects binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence below or at ``universe`` in near-minimal space, with constant-time select by samples."""
+    """A non-decreasing sequence in near-minimal space, with constant-time select by samples."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, selects: bytes):
         self.n, self.low_bits, self.low, self.high, self.selects = n, low_bits, low, high, selects
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
+        """From unsigned values."""
+        values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        ones = (values >> bits) + np.arange(n)
+        ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        low = (values[:, None] >> np.arange(bits) & 1).astype(np.uint8)
+        low = (values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
+    @property
+    def fields(self) -> list:
+        return [self.low_bits, self.low, self.high, self.selects]
+
     def select(self, i: int) -> int:
         """The i-th value, found from the sample before it."""
-        at = int(np.frombuffer(self.selects, "<u4", 1, i // SAMPLE * 4)[0])
+        at = int.from_bytes(self.selects[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
         byte, left = at >> 3, i % SAMPLE
         word = self.high[byte] >> (at & 7) << (at & 7)
         while (count := word.bit_count()) <= left:
@@ -67,95 +79,86 @@ class EliasFano:
         word = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3], "little")
         return word >> (first & 7) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (ones - np.arange(self.n) << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
-
-
-def encode_texts(docs: DataFrame, path: str, end_id: int, width: int, splits: list[int]) -> DataFrame:
-    """``(shard, doc_id, ids)``; ids end with ``end_id``, the shard is the range of doc_ids by ``splits``."""
-    cuts = np.array(splits, np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        enc, end = encoder(path, width), end_id.to_bytes(width, "little")
-        for batch in batches:
-            doc_ids, words = batch.column(0), batch.column(1).to_pylist()
-            shard = np.searchsorted(cuts, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            for a, b in in_slices(words):
-                ids = [x + end for x in enc.encode(words[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), doc_ids.slice(a, b - a), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "shard int, doc_id long, ids binary")
+def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """``doc_id, text`` dealt by range and sorted; a hash of the text and the row's number divide a doc_id of many rows."""
+    rows = texts(docs).withColumns({"print": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = ["doc_id", "print", "row"]
+    return rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
-def _blocks(width: int, block_ids: int):
-    dtype = np.dtype(f"<u{width}")
+def _blocks(path: str, end_id: int, width: int, block_ids: int):
+    """Encodes a shard's texts and yields its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shard, before, docs, parts, size = None, 0, [], [], 0
+        enc, end, shard = encoder(path, width), end_id.to_bytes(width, "little"), TaskContext.get().partitionId()
+        before, docs, parts, size = 0, [], [], 0
 
         def block():
             ends = np.cumsum([len(p) // width for p in parts])
-            ef = EliasFano.encode(ends)
-            row = [shard, before, len(docs), size, docs, b"".join(parts), ef.low_bits, ef.low, ef.high, ef.selects]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+            some = [d for d in docs if d is not None]
+            first = some[0] if some else 0
+            numbers = np.array(some, np.int64).astype(np.uint64) - np.array(first, np.int64).astype(np.uint64)
+            row = [shard, before, len(docs), size, b"".join(parts), *EliasFano.encode(ends).fields, len(docs) - len(some), first, *EliasFano.encode(numbers).fields]
+            kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            fields = [f.split() for f in BLOCK_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind[t]) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
         for batch in batches:
-            for s, d, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if docs and (s != shard or size + len(ids) // width > block_ids):
-                    yield block()
-                    before, docs, parts, size = before + size, [], [], 0
-                if s != shard:
-                    shard, before = s, 0
-                docs.append(d)
-                parts.append(ids)
-                size += len(ids) // dtype.itemsize
+            words = batch.column(1).to_pylist()
+            for a, b in in_slices(words):
+                for d, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), enc.encode(words[a:b]), strict=True):
+                    n = len(ids) // width + 1
+                    if docs and size + n > block_ids:
+                        yield block()
+                        before, docs, parts, size = before + size, [], [], 0
+                    docs.append(d)
+                    parts.append(ids + end)
+                    size += n
         if docs:
             yield block()
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, width: int = 2, block_ids: int = BLOCK_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, width: int = 2, block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode all texts and write them in ascending doc_id order as a file set at ``target``."""
-    spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    splits = sorted(set(found or []))
-    coded = encode_texts(docs, path, end_id, width, splits)
-    dealt = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(_blocks(width, block_ids), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(target)
-
-
-def read_token_files(spark: SparkSession, target: str, width: int = 2) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from a file set; ids are the document's bytes as stored."""
-    blocks = spark.read.parquet(target)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row for each range of doc_ids
+    sharded(docs, shard_bytes).mapInArrow(_blocks(path, end_id, width, block_ids), BLOCK_SCHEMA).write.parquet(target)
+
+
+def read_token_files(spark: SparkSession, target: str, width: int = 2, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` from a file set; ids are the document's bytes as stored.
+
+    Each document's range comes from two selects. With ``digest`` the last column is ``ids_crc32`` instead, the
+    checksum of the ids as unsigned 32-bit little-endian numbers.
+    """
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(target)
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))  # 12 bytes for each shard of text
+    last = pa.int64() if digest else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for b in batch.to_pylist():
-                ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["selects"]).values()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = [b["ids"][x * width : y * width] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["base"] + b["ids_before"]), pa.array(ends - starts), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["selects"])
+                ids = EliasFano(b["n_docs"] - b["n_null"], b["doc_low_bits"], b["doc_low"], b["doc_high"], b["doc_selects"])
+                docs = [None] * b["n_null"] + [signed(b["first_doc"] + ids.select(i)) for i in range(ids.n)]
+                at = [0, *map(ends.select, range(ends.n))]
+                parts = [b["ids"][x * width : y * width] for x, y in zip(at, at[1:], strict=False)]
+                if digest:
+                    parts = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in parts]
+                at = np.array(at, np.int64)
+                starts = at[:-1] + (b["base"] + b["ids_before"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(np.diff(at)), pa.array(parts, last)], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return blocks.join(shards, "shard").select("base", "ids_before", "n_docs", "doc_ids", "ids", "low_bits", "low", "high", "selects").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(F.broadcast(shards), "shard").drop("shard", "n_ids").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
-def crc_of_ids(rows: DataFrame, width: int = 2) -> DataFrame:
-    """Adds the digest: ``ids`` becomes ``ids_crc32`` over unsigned 32-bit little-endian ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def signed(x: int) -> int:
+    """The 64-bit number of a sum that may have wrapped."""
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def op7_token_files(spark, sf_dir):
@@ -163,4 +166,4 @@ def op7_token_files(spark, sf_dir):
 
     target = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, target)
-    return crc_of_ids(read_token_files(spark, target))
+    return read_token_files(spark, target, digest=True)

@@ -1,20 +1,31 @@
 """Token ids of whole texts, word by word, with a bounded memory of words already encoded.
 
-Both vocabularies split a text before the merges, and neither ever joins a non-space character with
-the white space after it. So a text may be cut before every run of white space that follows a
-non-space character, and the ids of the pieces in a row are the ids of the text. Texts with unusual
-white space or with the text of a special token are encoded whole instead, which is always right.
+Both vocabularies split a text before the merges, and no part that they make ever holds a character that is
+not white space followed by white space. So a text may be cut before any space, line feed, tab or
+carriage return that follows such a character, and the ids of the pieces in a row are the ids of the
+text. The text of a special token is a piece of its own, as in the library.
+
+Most pieces are a word of Latin letters with some punctuation after it. What the library's pre-tokenizer makes of these
+is known (checked against it when a file is opened), so they go to the library's model part by part; all
+others go through the whole library. A batch of texts is cut, its pieces numbered and the ids put in place by Arrow's kernels; Python sees each
+different piece of a batch once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
-#: White space beyond space, line feed, tab and carriage return (fixed values of the Unicode property and of Python's str.isspace).
-UNUSUAL_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　᠎​﻿"
-PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-KNOWN_WORDS = 500_000
+#: White space beyond space, line feed, tab and carriage return, by any of the libraries' rules (fixed values).
+UNUSUAL_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u180e\u200b\ufeff"
+PIECES = re.compile(rf"(?<=[^ \n\t\r{UNUSUAL_SPACE}])(?=[ \n\t\r])")
+#: White space before it, Latin letters whose case and form all Unicode versions agree on, punctuation without the apostrophe of contractions.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+SIMPLE = re.compile(rf"([ \n]?)([{LETTERS}]+)([!\"#$%&()*+,./:;<=>?@\[\\\]^_`{{|}}~-]*)")
+SPACE, LINE = "\u0120", "\u010a"  # how byte-level vocabularies write them
+PROBES = (" word", " Straße,", "\nÉa", "Zug###", " a.", "\nThe-", " ÀB!?", "x", " ſŁn&&&")
+KNOWN_WORDS, KNOWN_PARTS = 400_000, 400_000
 TOGETHER = 200
 
 
@@ -28,69 +39,139 @@ class WordEncoder:
     def __init__(self, path: str, width: int = 4, known: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from tokenizers import Tokenizer
 
-        self.np, self.width, self.known = np, width, known
+        self.np, self.pa, self.pc, self.width, self.known = np, pa, pc, width, known
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dtype = np.dtype(f"<u{width}")
         # a special token between two pieces separates them in one call for many pieces
-        self.mark = self.special[-1] if self.special else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
+        self.mark = next(reversed(self.special), None)
+        self.mark_id = self.special.get(self.mark)
+        self.model = self.tokenizer.model
+        settings = json.loads(self.tokenizer.to_str())
+        self.lower = settings["normalizer"] is not None
+        self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.shown = str.maketrans({chr(b): c for c, b in byte_of_char().items()})
+        self.parts: dict[str, bytes] = {}
+        self.simple = True
+        self.simple = all(self._simple(p) == self._ids(p) for p in PROBES)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
+    def _ids(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= KNOWN_PARTS:
+                self.parts.clear()
+            bytes_of = self.bytes_of
+            found = self.parts[part] = b"".join([bytes_of[t.id] for t in self.model.tokenize(part)])
+        return found
+
+    def _simple(self, piece: str) -> bytes | None:
+        """Ids of a simple piece from the model alone; None if it is none."""
+        match = SIMPLE.fullmatch(piece) if self.simple else None
+        if match is None:
+            return None
+        space, word, rest = match.groups()
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.shown)
+        if not self.lower and space == "\n":
+            out = self._part(LINE) + self._part(word)
+        else:
+            out = self._part(SPACE + word if space and not self.lower else word)
+        return out + self._part(rest) if rest else out
+
     def _learn(self, keys: list[str]) -> None:
-        raw = [self._raw(k) for k in keys]
+        """All new pieces at once: simple ones by the model, the rest through the library in groups that a special token divides."""
+        simple, young, hard = self._simple, self.young, []
+        for k in keys:
+            found = simple(k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k)
+            if found is None:
+                hard.append(k)
+            else:
+                young[k] = found
+        raw = [self._raw(k) for k in hard]
+        np, w = self.np, self.width
         if self.mark is None:
-            self.young.update(zip(keys, map(self.whole, raw), strict=True))
+            self.young.update(zip(hard, map(self._ids, raw), strict=True))
             return
-        np, w = self.np, self.width
         groups = [raw[i : i + TOGETHER] for i in range(0, len(raw), TOGETHER)]
-        found: list[bytes] = []
+        found = []
         for enc in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False):
             ids = np.array(enc.ids, np.uint32)
             cut, data = np.flatnonzero(ids == self.mark_id) * w, ids.astype(self.dtype).tobytes()
             found += [data[x:y] for x, y in zip([0, *(cut + w).tolist()], [*cut.tolist(), len(data)], strict=True)]
-        self.young.update(zip(keys, found, strict=True))
+        self.young.update(zip(hard, found, strict=True))
 
     @staticmethod
     def _raw(key: str) -> str:
         """The piece that a key stands for: after a carriage return as it is, after a line feed too, else with a space before it."""
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
-    def _split(self, text: str) -> list[str] | None:
-        if any(c in text for c in UNUSUAL_SPACE) or any(s in text for s in self.special):
-            return None
-        spaced = text.replace("\n", " \n")
-        if "  " in spaced or "\n " in spaced or "\t" in text or "\r" in text:
-            return ["\r" + p for p in PIECES.findall(text)]
-        keys = spaced.split(" ")
-        keys[0] = "\r" + keys[0]
-        return keys
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; all pieces of the batch that are new go through the tokenizer in one call."""
-        split = [self._split(t) for t in texts]
-        wanted = set().union(*(s for s in split if s))
-        if len(self.young) + len(wanted) > self.known:
+    def _known(self, keys: list[str]) -> list[bytes]:
+        """Ids of different pieces; all new ones go through the tokenizer in one call."""
+        if len(self.young) + len(keys) > self.known:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = []
-        for p in [p for p in wanted if p not in young]:
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
+        new = [p for p in keys if p not in young]
+        if old and new:
+            young.update((p, old[p]) for p in new if p in old)
+            new = [p for p in new if p not in old]
         if new:
             self._learn(new)
-        get = young.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return [young[p] for p in keys]
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        np, pa = self.np, self.pa
+        plain, keys, sizes, order = [], [], [], []  # texts that spaces alone divide; pieces of the others
+        out: list[bytes | None] = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if self.has_special(t):
+                parts = self.specials.split(t)  # every second one is a special token
+                ids = iter(self.encode(parts[::2]))
+                out[i] = b"".join(self.special[p].to_bytes(self.width, "little") if k % 2 else next(ids) for k, p in enumerate(parts))
+                continue
+            spaced = t.replace("\n", " \n")
+            if "  " in spaced or "\n " in spaced or "\t" in t or "\r" in t or any(c in t for c in UNUSUAL_SPACE):
+                pieces = PIECES.split(t)
+                keys += ["\r" + p for p in pieces]
+                sizes.append(len(pieces))
+                order.append(i)
+            else:
+                plain.append((i, "\r" + spaced))
+        lists = self.pc.split_pattern(pa.array([t for _, t in plain], pa.large_string()), " ")
+        ends = np.concatenate([np.diff(lists.offsets.to_numpy()), np.array(sizes, np.int64)]).cumsum()
+        if not len(ends):
+            return out
+        coded = pa.concat_arrays([lists.flatten(), pa.array(keys, pa.large_string())]).dictionary_encode()
+        taken = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        for i, a, b in zip([*(i for i, _ in plain), *order], [0, *at], at, strict=False):
+            out[i] = bytes(data[a:b])
+        return out
+
+
+def byte_of_char() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the rest, in order, from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -104,7 +185,7 @@ def encoder(path: str, width: int = 4) -> WordEncoder:
     return _encoders[path, width]
 
 
-def in_slices(texts: list[str], most_chars: int = 400_000):
+def in_slices(texts: list[str], most_chars: int = 6_000_000):
     """Index ranges of about ``most_chars`` characters each, so that what a batch holds stays small."""
     start = size = 0
     for i, t in enumerate(texts):

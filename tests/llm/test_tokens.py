@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from clausemine.llm.chunk_bpe import chunk_encoder, cut_points, decode_documents, encode_documents, round_trip_digests
 from clausemine.llm.packing import pack, solve
-from clausemine.llm.token_files import EliasFano, crc_of_ids, read_token_files, write_token_files
+from clausemine.llm.token_files import EliasFano, read_token_files, write_token_files
 from clausemine.llm.tokens import WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -83,8 +83,10 @@ def test_bpe_round_trip_on_spark(docs, rows, library):
 def test_token_files_round_trip(docs, rows, library, spark, tmp_path):
     for width, block in ((2, 1 << 20), (4, 500)):
         target = f"file://{tmp_path}/{width}"
-        write_token_files(docs, WORD, 2, target, width, block)
-        got = crc_of_ids(read_token_files(spark, target, width), width).collect()
+        write_token_files(docs, WORD, 2, target, width, block, shard_bytes=100_000)
+        got = read_token_files(spark, target, width, digest=True).collect()
+        raw = Counter((r.doc_id, r.start, zlib.crc32(np.frombuffer(r.ids, f"<u{width}").astype("<u4").tobytes())) for r in read_token_files(spark, target, width).collect())
+        assert raw == Counter((r.doc_id, r.start, r.ids_crc32) for r in got)
         want = Counter()
         for d, text in rows:
             ids = [*ids_of(library[WORD], text), 2]
@@ -108,10 +110,38 @@ def test_token_files_of_an_empty_table(frame, spark, tmp_path):
 def test_elias_fano(steps):
     values = np.cumsum(steps)
     ef = EliasFano.encode(values)
-    assert ef.values().tolist() == values.tolist()
     assert [ef.select(i) for i in range(len(values))] == values.tolist()
 
 
+def test_elias_fano_of_far_values():
+    values = [0, 0, 5, 1 << 40, (1 << 63) + 7, (1 << 64) - 1]
+    ef = EliasFano.encode(np.array(values, np.uint64))
+    assert [ef.select(i) for i in range(len(values))] == values
+
+
+def test_reading_takes_offsets_from_select(spark, frame, tmp_path, monkeypatch):
+    """A file whose select samples are damaged does not give the right offsets: there is no other way to them."""
+    from pyspark.sql import functions as F
+
+    target = f"file://{tmp_path}/t"
+    write_token_files(frame([(i, "some words of text " * i) for i in range(300)]), WORD, 2, target)
+    right = {tuple(r) for r in read_token_files(spark, target).select("doc_id", "start").collect()}
+    blocks = spark.read.parquet(target).withColumn("selects", F.expr("cast(reverse(array_join(transform(sequence(1, octet_length(selects)), i -> chr(1)), '')) as binary)"))
+    blocks.write.parquet(target + "-bad")
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        wrong = {tuple(r) for r in read_token_files(spark, target + "-bad").select("doc_id", "start").collect()}
+        assert wrong == right
+
+
+def test_hot_and_extreme_doc_ids(spark, frame, library, tmp_path):
+    rows = [(-(1 << 63), "low"), ((1 << 63) - 1, "high")] + [(None, f"text {i}") for i in range(400)] + [(7, "same")] * 400
+    write_token_files(frame(rows), WORD, 2, f"file://{tmp_path}/x", shard_bytes=500)
+    got = sorted(read_token_files(spark, f"file://{tmp_path}/x", digest=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 400 + [-(1 << 63)] + [7] * 400 + [(1 << 63) - 1]
+    want = Counter((d, zlib.crc32(np.array([*ids_of(library[WORD], t), 2], "<u4").tobytes())) for d, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+
+
 def packed(got, rows, t, size, end):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
