@@ -1,11 +1,16 @@
 """Best-fit packing by a configuration linear program.
 
 Only the histogram of piece lengths (at most ``size`` numbers) reaches the driver. A configuration
-says how many pieces of each length share one sequence. The program "as few sequences as possible,
-every length covered" is solved by multiplicative weights: a length's price falls as it is covered,
-and each round the most valuable configuration is found by knapsack dynamic programming and gets a
-share of the sequences. The solution is rounded down; lengths that are still left are packed best
-fit by the same knapsack, now for the fullest sequence that the remaining histogram allows.
+says how many pieces of each length share one sequence. The program "as few sequences as possible, every
+length covered" is solved by multiplicative weights: the weight of a length is its tokens times the
+exponential of how far it is behind in coverage, and its price a piece is weight over need. A round finds what every room can
+earn by knapsack dynamic programming, and gives shares to configurations within ``SLACK`` of the most
+valuable one, each as far as no length gets more than the round's part. Prices over the best value
+are a dual solution, so every round also gives a lower bound (``relax`` returns the best).
+
+Shares are rounded: largest first, down, but at least one sequence, as long as the pieces last. What is left is
+a smaller program and is solved again until ``BY_PROGRAM`` of the tokens are placed. The rest, still a mix
+of all lengths, is packed best fit: the longest piece, then always the longest that leaves a room which others fill.
 
 The plan gives, for every length, ranges of ranks and the place each range takes. Pieces are ranked
 within their length without gathering a length in one task: each task numbers its own, and the
@@ -13,7 +18,7 @@ counts by task and length give the offsets.
 
 Defined results: null or empty text is one piece holding the end id; a document longer than ``size``
 is cut into pieces of ``size`` ids, its first piece taking the remainder; repeated rows are packed
-each; null doc_ids are packed like any other; an empty table gives no rows; other columns are ignored.
+each; among equally good configurations the longest lengths come first; null doc_ids are packed like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, table, texts
 from .tokens import encoder, in_slices
 
-SIZE, END_ID, ROUNDS, STEP = 2048, 0, 400, 0.5
+SIZE, END_ID, ROUNDS, SHARP, SLACK, BY_PROGRAM = 2048, 0, 8, 5.0, 0.1, 0.92
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -58,96 +63,116 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
-def best_configuration(value: np.ndarray, size: int, copies: np.ndarray) -> dict[int, int]:
-    """Knapsack by dynamic programming: the most valuable multiset of lengths within ``size``.
-
-    ``value[l]`` is the worth of length l (0: not offered). Copies beyond ``copies[l]`` are cut off.
-    """
-    offered = np.flatnonzero(value[1:] > 0) + 1
-    worth = value[offered]
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+def knapsack(price: np.ndarray, offered: np.ndarray, size: int) -> np.ndarray:
+    """What every room up to ``size`` can earn; ``offered`` are the lengths, longest first."""
+    worth, best, m = price[offered], np.zeros(size + 1), len(offered)
+    first = np.searchsorted(-offered, -np.arange(size + 1)).tolist()
     for room in range(1, size + 1):
-        k = np.searchsorted(offered, room, "right")
         best[room] = best[room - 1]
-        if k:
-            total = worth[:k] + best[room - offered[:k]]
-            i = int(np.argmax(total))
-            if total[i] > best[room]:
-                best[room], last[room] = total[i], offered[i]
-    found: Counter = Counter()
-    room = size
-    while room > 0:
-        if last[room] == 0:
-            room -= 1
-        else:
-            found[int(last[room])] += 1
-            room -= int(last[room])
-    return {n: min(c, int(copies[n])) for n, c in found.items()}
-
-
-def fullest(left: np.ndarray, size: int) -> dict[int, int]:
-    """The longest remaining length, then best fit: always the longest that leaves a room which other lengths fill exactly."""
-    first = int(np.flatnonzero(left)[-1])
-    found, room = Counter({first: 1}), size - first
-    reach = None
-    while room > 0:
-        can = np.flatnonzero(left[: room + 1])
-        can = can[left[can] > np.array([found[int(n)] for n in can])] if len(can) else can
+        if first[room] < m:
+            k = first[room]
+            best[room] = max(best[room], (worth[k:] + best[room - offered[k:]]).max())
+    return best
+
+
+def configuration(n: int, slack: float, price: np.ndarray, best: np.ndarray, offered: np.ndarray, room_for: np.ndarray, need: np.ndarray) -> Counter | None:
+    """A full configuration around a piece of length n that earns at most ``slack`` less than the best around it, of lengths with room; None if there is none."""
+    room, found = len(best) - 1 - n, Counter({n: 1})
+    while room:
+        can = offered[np.searchsorted(-offered, -room) :]
+        loss = best[room] - price[can] - best[room - can]
+        good = np.flatnonzero((loss <= slack + 1e-12) & (room_for[can] > 1e-9))
+        k = next((k for k in good.tolist() if found[int(can[k])] < need[can[k]]), None)
+        if k is None:
+            return None
+        slack -= float(loss[k])
+        found[int(can[k])] += 1
+        room -= int(can[k])
+    return found
+
+
+def relax(need: np.ndarray, rounds: int = ROUNDS, sharp: float = SHARP, slack: float = SLACK) -> tuple[dict[tuple, float], float]:
+    """(share of each configuration, lower bound on the number of sequences) of the linear program."""
+    size, load, shares, bound = len(need) - 1, np.zeros(len(need)), {}, 0.0
+    offered = np.flatnonzero(need)[::-1].copy()
+    for r in range(1, rounds + 1):
+        price = np.where(need > 0, np.arange(size + 1) * np.exp(sharp * ((r - 1) / rounds - load)), 0.0)  # weight over need
+        best = knapsack(price, offered, size)
+        bound = max(bound, float(need @ price) / best[size])
+        room_for, spare = need * (r / rounds - load), price[offered] + best[size - offered] - (1 - slack) * best[size]
+        for i in np.argsort(-spare, kind="stable").tolist():
+            n = int(offered[i])
+            if spare[i] < 0:
+                break
+            config = configuration(n, float(spare[i]), price, best, offered, room_for, need) if room_for[n] > 1e-9 else None
+            step = min(room_for[k] / c for k, c in config.items()) if config else 0.0
+            if step > 1e-9:
+                for k, c in config.items():
+                    room_for[k] -= step * c
+                    load[k] += step * c / need[k]
+                key = tuple(sorted(config.items(), reverse=True))
+                shares[key] = shares.get(key, 0.0) + step
+    return shares, bound
+
+
+def reachable(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Which rooms the lengths can fill exactly, copies not counted."""
+    up, fits = np.sort(lengths), np.zeros(size + 1, bool)
+    fits[0] = True
+    below = np.searchsorted(up, np.arange(size + 1), "right").tolist()
+    for r in range(1, size + 1):
+        fits[r] = bool(fits[r - up[: below[r]]].any())
+    return fits
+
+
+def fullest(left: np.ndarray, reach: np.ndarray) -> tuple[Counter, int]:
+    """(the longest remaining length and what best fits beside it, the room that stays empty)."""
+    down = np.flatnonzero(left)[::-1]
+    found, room = Counter({int(down[0]): 1}), len(left) - 1 - int(down[0])
+    while room:
+        can = down[down <= room]
+        can = can[left[can] > np.array([found[int(n)] for n in can], np.int64)]
         if not len(can):
             break
-        if reach is None:
-            reach = reachable(np.flatnonzero(left[: room + 1]), room)
-        rest = room - can
-        good = can[reach[rest]]
-        pick = int(good[-1]) if len(good) else int(can[-1])
+        good = can[reach[room - can]]
+        pick = int(good[0] if len(good) else can[0])
         found[pick] += 1
         room -= pick
-    return dict(found)
+    return found, room
 
 
-def reachable(lengths: np.ndarray, room: int) -> np.ndarray:
-    """Which rooms the lengths can fill exactly, copies not counted."""
-    fits = np.zeros(room + 1, bool)
-    fits[0] = True
-    for r in range(1, room + 1):
-        k = np.searchsorted(lengths, r, "right")
-        fits[r] = bool(k) and bool(fits[r - lengths[:k]].any())
-    return fits
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, by_program: float = BY_PROGRAM) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(configurations with the number of sequences that each fills, how many of these entries come from the program); every piece is placed exactly once."""
+    left, lengths, plan = np.zeros(size + 1, np.int64), np.arange(size + 1), []
+    for n, c in histogram.items():
+        left[n] = c
 
+    def place(config, count: int) -> None:
+        plan.append((dict(config), count))
+        for n, c in config:
+            left[n] -= c * count
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations with the number of sequences that each fills; every piece is placed exactly once."""
-    need = np.zeros(size + 1, np.int64)
-    for n, c in histogram.items():
-        need[n] = c
-    lengths = np.arange(size + 1)
-    bound = max(1.0, float(need @ lengths) / size)
-    load = np.zeros(size + 1)
-    share: dict[tuple, float] = {}
-    offered = need > 0
-    for _ in range(rounds if offered.any() else 0):
-        price = np.where(offered, np.exp(-load / STEP) * lengths, 0.0)
-        config = best_configuration(price, size, need)
-        step = min(bound / rounds * 4, *(need[n] / c for n, c in config.items()))
-        for n, c in config.items():
-            load[n] += step * c / need[n]
-        share[key] = share.get(key := tuple(sorted(config.items())), 0.0) + step
-        if load[offered].min() >= 1:
+    stop, again = (1 - by_program) * float(left @ lengths), rounds
+    while left @ lengths > stop and again:
+        shares, _ = relax(left, again)
+        before, again = len(plan), 2
+        for config, x in sorted(shares.items(), key=lambda s: (-int(s[1]), -s[0][0][0])):
+            count = min(max(1, int(x + 1e-6)), *(int(left[n]) // c for n, c in config))
+            if count > 0 and left @ lengths > stop:
+                place(config, count)
+        if len(plan) == before:
             break
-    plan, left = [], need.copy()
-    for key, x in sorted(share.items(), key=lambda kv: -kv[1]):
-        count = min(int(x), *(int(left[n]) // c for n, c in key))
-        if count > 0 and sum(n * c for n, c in key) == size:
-            plan.append((dict(key), count))
-            for n, c in key:
-                left[n] -= c * count
+    solved, reach, fresh = len(plan), None, False
     while left.any():
-        config = fullest(left, size)
-        count = min(int(left[n]) // c for n, c in config.items())
-        plan.append((config, count))
-        for n, c in config.items():
-            left[n] -= c * count
-    return plan
+        if reach is None:
+            reach, fresh = reachable(np.flatnonzero(left), size), True
+        config, gap = fullest(left, reach)
+        if gap and not fresh:  # some length has run out since
+            reach = None
+            continue
+        place(config.items(), min(int(left[n]) // c for n, c in config.items()))
+        fresh = False
+    return plan, solved
 
 
 def places(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -168,7 +193,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, rou
     rows = materialize(pieces(docs, path, size, end_id), "pieces")
     counts = rows.groupBy("length", "task").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `size` rows
-    spots = places(solve(histogram, size, rounds))
+    spots = places(solve(histogram, size, rounds)[0])
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
     far = 1 << 44
