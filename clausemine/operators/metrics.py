@@ -9,25 +9,31 @@ AC2 rules count raw edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RuleConfig
-from ..functions.rule_columns import signature
-from ..sources.knowledge_graph import EDGE_COLUMNS, TYPE, KnowledgeGraph
+from ..functions.rule_columns import chain, signature
+from ..sources.knowledge_graph import EdgeType, KnowledgeGraph
 from ..sources.storage import stored
-from .reach import chains_of, check_types, connected, reach
+from .reach import Chain, check_types, connected, reach
 
 METRICS = ["support", "confidence", "head_coverage", "num_predictions"]
 
 
-def flagged_reach(graph: KnowledgeGraph, rules: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``chain_key``, the head's edge type, ``src, dst, known`` for each body chain and head type of the rules."""
-    pairs = reach(graph, chains_of(rules)) if pairs is None else pairs
-    wanted = rules.select("chain_key", signature(F.col("head")).alias("h")).select("chain_key", "h.*").distinct()
-    known = graph.edges.select(*EDGE_COLUMNS).distinct().withColumn("known", F.lit(1))
-    known = known.join(wanted.select(*TYPE).distinct(), TYPE)
-    return pairs.join(wanted, "chain_key").join(known, EDGE_COLUMNS, "left").select("chain_key", *EDGE_COLUMNS, F.coalesce("known", F.lit(0)).alias("known"))
+def flagged_reach(graph: KnowledgeGraph, wanted: list[tuple[Chain, EdgeType]]) -> DataFrame:
+    """``pair, src, dst, known``: the reach of each (chain, head type), and whether the head has the link."""
+    chains, heads = list(dict.fromkeys(c for c, _ in wanted)), list(dict.fromkeys(h for _, h in wanted))
+    pairs = reach(graph, chains)
+    if len(heads) == 1:  # chains are pairs then
+        known = graph.linked(heads[0]).withColumn("known", F.lit(1))
+        return pairs.withColumnRenamed("chain", "pair").join(known, ["src", "dst"], "left").select("pair", "src", "dst", F.coalesce("known", F.lit(0)).alias("known"))
+    table = graph.spark.createDataFrame([(chains.index(c), heads.index(h), i) for i, (c, h) in enumerate(wanted)], "chain int, head int, pair int")
+    known = None
+    for i, h in enumerate(heads):
+        part = graph.linked(h).select(F.lit(i).alias("head"), "src", "dst", F.lit(1).alias("known"))
+        known = part if known is None else known.unionByName(part)
+    return pairs.join(F.broadcast(table), "chain").join(known, ["head", "src", "dst"], "left").select("pair", "src", "dst", F.coalesce("known", F.lit(0)).alias("known"))
 
 
 def connected_side(head: Column, body: Column) -> Column:
@@ -38,27 +44,46 @@ def connected_side(head: Column, body: Column) -> Column:
 
 
 def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
-    """The rules with their metrics, a row each. Unknown edge types in a body or head raise ValueError."""
+    """The rules with their metrics, a row each. Unknown edge types in a body or head raise ValueError.
+
+    The distinct (chain, head type) pairs come to the driver; they are as few as chains are.
+    """
     rules = stored(rules, "rules")  # each part below reads the rules again
-    check_types(graph, chains_of(rules))
-    check_types(graph, rules.select(F.array(signature(F.col("head"))).alias("hops")))
-    keyed = rules.select("*", signature(F.col("head")).alias("h"), connected_side(F.col("head"), F.col("body")).alias("side")).select("*", "h.*").drop("h")
-    group, columns = ["chain_key", *TYPE], [*rules.columns, *TYPE, "preds", "hits"]
-    kinds = {r["rule_type"] for r in rules.select("rule_type").distinct().collect()}  # three at most
-    counts = ac2_counts(graph, keyed.filter("rule_type = 'ac2'")).select(*columns) if "ac2" in kinds or not kinds else None
+    head = signature(F.col("head"))
+    side = F.when(F.col("rule_type") == "ac2", connected_side(F.col("head"), F.col("body")))
+    rows = rules.select("rule_type", "chain_key", chain(F.col("body")).alias("hops"), head.alias("h"), side.alias("side")).distinct().collect()
+    hops = {r["chain_key"]: tuple(map(tuple, r["hops"])) for r in rows}
+    check_types(graph, [*hops.values(), *((tuple(r["h"]),) for r in rows)])
+    kinds = {r["rule_type"] for r in rows}
+    table = list(dict.fromkeys((r["chain_key"], tuple(r["h"])) for r in rows))
+    number = {t: i for i, t in enumerate(table)}
+    named = graph.spark.createDataFrame([(k, h, i) for (k, h), i in number.items()], "chain_key string, h struct<src_type: string, relation: string, dst_type: string>, pair int")
+    keyed = rules.withColumns({"h": head, "side": side}).join(F.broadcast(named), ["chain_key", "h"])
+    columns = [*rules.columns, "h", "preds", "hits"]
+    parts = [keyed.filter("rule_type = 'ac2'").join(F.broadcast(ac2_counts(graph, rows, hops, number)), ["pair", "side"], "left").select(*columns)] if "ac2" in kinds or not kinds else []
     if kinds - {"ac2"}:
-        flagged = stored(flagged_reach(graph, rules.filter("rule_type <> 'ac2'")), "flagged-reach")
+        wanted = list(dict.fromkeys((r["chain_key"], tuple(r["h"])) for r in rows if r["rule_type"] != "ac2"))
+        flagged = flagged_reach(graph, [(hops[k], h) for k, h in wanted])
+        renumber = graph.spark.createDataFrame([(i, number[w]) for i, w in enumerate(wanted)], "pair int, to int")
     subject, obj = F.col("head.subject.entity_id"), F.col("head.object.entity_id")
-    for kind, which, entity, side in (("cyclic", F.lit(True), None, None), ("ac1", subject.isNotNull(), subject, "src"), ("ac1", subject.isNull(), obj, "dst")):
-        if kind in kinds:
-            by, key = ([], group) if side is None else ([F.col(side).alias("entity")], [*group, "entity"])
-            counted = flagged.groupBy(*group, *by).agg(F.count("*").alias("preds"), F.sum("known").alias("hits"))
-            some = keyed.filter((F.col("rule_type") == kind) & which)
-            some = (some if side is None else some.withColumn("entity", entity)).join(counted, key, "left").select(*columns)
-            counts = some if counts is None else counts.unionByName(some)
-    heads = graph.edge_counts().select(*TYPE, "edge_count")
+    ways = [("cyclic", F.lit(True), None, None), ("ac1", subject.isNotNull(), subject, "src"), ("ac1", subject.isNull(), obj, "dst")]
+    sides = {r[0] for r in rules.filter("rule_type = 'ac1'").select(F.when(subject.isNotNull(), "src").otherwise("dst")).distinct().collect()} if "ac1" in kinds else set()
+    ways = [w for w in ways if w[0] in kinds and w[3] in {None, *sides}]
+    if len(ways) > 1:
+        flagged = stored(flagged, "flagged-reach")
+    for kind, which, entity, by in ways:
+        group = ["pair"] if by is None else ["pair", "entity"]
+        counted = (flagged if by is None else flagged.withColumn("entity", F.col(by))).groupBy(*group).agg(F.count("*").alias("preds"), F.sum("known").alias("hits"))
+        counted = counted.join(F.broadcast(renumber), "pair").withColumn("pair", F.col("to")).drop("to")
+        some = keyed.filter((F.col("rule_type") == kind) & which)
+        parts.append((some if by is None else some.withColumn("entity", entity)).join(counted, group, "left").select(*columns))
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    used = [h for h in dict.fromkeys(h for _, h in table)] or list(graph.edge_types[:1])
+    heads = graph.edges_of(tuple(used)).groupBy(F.struct("src_type", "relation", "dst_type").alias("h")).agg(F.count("*").alias("edge_count"))
     preds, hits = F.coalesce("preds", F.lit(0)), F.when(F.coalesce("preds", F.lit(0)) > 0, F.coalesce("hits", F.lit(0))).otherwise(0)
-    return counts.join(F.broadcast(heads), TYPE, "left").select(
+    return counts.join(F.broadcast(heads), "h", "left").select(
         *rules.columns,
         hits.cast("long").alias("support"),
         F.when(preds > 0, hits / preds).otherwise(0.0).alias("confidence"),
@@ -67,34 +92,55 @@ def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
     )
 
 
-def ac2_counts(graph: KnowledgeGraph, keyed: DataFrame) -> DataFrame:
-    """AC2 rules with ``preds`` and ``hits``; null where the head is connected on both sides or on none."""
-    out = keyed.filter("side is null").withColumns({"preds": F.lit(0).cast("long"), "hits": F.lit(0).cast("long")})
-    nodes = graph.node_counts()
-    for side, other in (("src", "dst"), ("dst", "src")):
-        some = keyed.filter(F.col("side") == side)
-        bound = connected(graph, chains_of(some), side)
-        heads = some.select("chain_key", *TYPE).distinct()
-        edges = graph.edges.select(*TYPE, F.col(side).alias("id"))
-        hits = heads.join(edges, TYPE).join(bound, ["chain_key", "id"], "left_semi").groupBy("chain_key", *TYPE).agg(F.count("*").alias("hits"))
-        sizes = bound.groupBy("chain_key").agg(F.count("*").alias("bound"))
-        free = nodes.select(F.col("node_type").alias(f"{other}_type"), "node_count")
-        joined = some.join(sizes, "chain_key", "left").join(F.broadcast(free), f"{other}_type", "left").join(hits, ["chain_key", *TYPE], "left")
-        out = out.unionByName(joined.withColumn("preds", F.col("bound") * F.coalesce("node_count", F.lit(0))).select(*out.columns))
+def ac2_counts(graph: KnowledgeGraph, rows: list, hops: dict[str, Chain], number: dict) -> DataFrame:
+    """``pair, side, preds, hits`` of AC2 rules, a row for each chain, head type and side; none where the head is connected on both sides or on none."""
+    out = graph.spark.createDataFrame([], "pair int, side string, preds long, hits long")
+    for side, other in (("src", 2), ("dst", 0)):
+        wanted = list(dict.fromkeys((r["chain_key"], tuple(r["h"])) for r in rows if r["rule_type"] == "ac2" and r["side"] == side))
+        if not wanted:
+            continue
+        keys = list(dict.fromkeys(k for k, _ in wanted))
+        bound = stored(connected(graph, [hops[k] for k in keys], side), "bound")  # read for its size and for each head type
+        sizes = bound.groupBy("chain").agg(F.count("*").alias("bound"))
+        for head in dict.fromkeys(h for _, h in wanted):
+            mine = graph.spark.createDataFrame([(keys.index(k), number[k, h]) for k, h in wanted if h == head], "chain int, pair int")
+            degree = graph.bag(head).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
+            hits = bound.join(degree, "id").groupBy("chain").agg(F.sum("n").alias("hits"))
+            free = graph.ids[head[other]].agg(F.count("*").alias("free")) if head[other] in graph.ids else graph.spark.range(1).select(F.lit(0).alias("free"))
+            part = mine.join(sizes, "chain", "left").join(hits, "chain", "left").join(F.broadcast(free))
+            out = out.unionByName(part.select("pair", F.lit(side).alias("side"), (F.col("bound") * F.col("free")).alias("preds"), "hits"))
     return out
 
 
+def is_trivial(num_predictions: Column) -> Column:
+    """Whether a rule predicts nothing."""
+    return num_predictions == 0
+
+
 def passing(metrics: DataFrame, config: RuleConfig) -> DataFrame:
     """Rules at or above all three thresholds."""
     return metrics.filter((F.col("support") >= config.min_support) & (F.col("confidence") >= config.min_confidence) & (F.col("head_coverage") >= config.min_head_coverage))
 
 
-def evaluate_batch(graph: KnowledgeGraph, rules: DataFrame, config: RuleConfig, max_results: int | None = None) -> DataFrame:
-    """The rules that pass, in their order; the first ``max_results`` if that is given."""
-    kept = passing(evaluate(graph, rules), config)
-    return kept if max_results is None else kept.orderBy("ord").limit(max_results)
+def evaluate_batch(graph: KnowledgeGraph, rules: DataFrame, config: RuleConfig, max_results: int | None = None, batch: int = 500) -> DataFrame:
+    """The rules that pass, in their order; the first ``max_results`` if that is given.
+
+    Then rules are evaluated in batches in that order, and no more once enough have passed.
+    """
+    if max_results is None:
+        return passing(evaluate(graph, rules), config)
+    rules = stored(rules, "rules")
+    numbered = rules.withColumn("place", F.row_number().over(Window.orderBy("ord")) - 1)  # rules are as many as a miner found
+    numbered, found, total = stored(numbered, "numbered-rules"), None, rules.count()
+    for first in range(0, max(total, 1), batch):
+        some = numbered.filter((F.col("place") >= first) & (F.col("place") < first + batch)).drop("place")
+        part = stored(passing(evaluate(graph, some), config), "passing")
+        found = part if found is None else found.unionByName(part)
+        if found.count() >= max_results:
+            break
+    return found.orderBy("ord").limit(max_results)
 
 
 def top_rules(metrics: DataFrame, k: int = 20) -> DataFrame:
-    """By confidence, then support; ties by the rule itself."""
-    return metrics.orderBy(F.desc("confidence"), F.desc("support"), "rule_key").limit(k)
+    """By confidence, then support; ties keep the order of the rules."""
+    return metrics.orderBy(F.desc("confidence"), F.desc("support"), "ord").limit(k)

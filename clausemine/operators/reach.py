@@ -1,68 +1,110 @@
 """What body chains reach: the distinct (src, dst) pairs of a chain of edge types, for many chains at once.
 
-The chains are data: hop by hop, pairs meet the next edge type of every chain that they belong to.
-Chains share their prefixes (a trie), and pairs are made distinct after every hop, so a hub costs
-its pairs and not its paths. One plan serves any number of chains; its depth is the longest chain.
+Different chains are few (types to the power of the longest rule at most), so they come to the driver and
+become a trie. Hop by hop, the pairs of all chains meet the edges of one type, once for each type that any
+chain takes there: a plan has a join for each type and hop, however many chains there are. Pairs carry the
+number of their place in the trie and are made distinct after every hop, so a hub costs its pairs, not its paths.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.knowledge_graph import TYPE, KnowledgeGraph
+from ..sources.knowledge_graph import EdgeType, KnowledgeGraph
 
+Chain = tuple[EdgeType, ...]
 
-def chains_of(rules: DataFrame) -> DataFrame:
-    """Distinct ``chain_key, hops`` of rules."""
+
+def chains_of(rules: DataFrame) -> dict[str, Chain]:
+    """The distinct chains of rules by ``chain_key``."""
     from ..functions.rule_columns import chain
 
-    return rules.select("chain_key", chain(F.col("body")).alias("hops")).dropDuplicates(["chain_key"])
+    rows = rules.select("chain_key", chain(F.col("body")).alias("hops")).dropDuplicates(["chain_key"]).collect()  # one row for each chain
+    return {r["chain_key"]: tuple(tuple(h) for h in r["hops"]) for r in rows}
 
 
-def check_types(graph: KnowledgeGraph, chains: DataFrame) -> None:
+def check_types(graph: KnowledgeGraph, chains) -> None:
     """ValueError if a chain names an edge type that the graph does not have."""
-    used = chains.select(F.explode("hops").alias("h")).select("h.*").distinct()  # at most as many as there are in the rules
-    for row in used.join(F.broadcast(graph.catalog), TYPE, "left_anti").limit(1).collect():
-        raise ValueError(f"unknown edge type {tuple(row)}")
+    for hops in chains:
+        for edge_type in hops:
+            graph.require(edge_type)
+
+
+class Trie:
+    """Places of chains: ``moves[n][edge type]`` lists (place before, place after) of hop n + 1; ``ends[place]`` numbers the chains that end there."""
+
+    def __init__(self, chains: list[Chain]):
+        places: dict[Chain, int] = {(): 0}
+        self.moves: list[dict[EdgeType, list[tuple[int, int]]]] = []
+        self.ends: list[tuple[int, int]] = []
+        for number, hops in enumerate(chains):
+            for n, edge_type in enumerate(hops):
+                if n == len(self.moves):
+                    self.moves.append(defaultdict(list))
+                if hops[: n + 1] not in places:
+                    places[hops[: n + 1]] = len(places)
+                    self.moves[n][edge_type].append((places[hops[:n]], places[hops[: n + 1]]))
+            self.ends.append((places[hops], number))
+
 
+def moved(state: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
+    """The rows that make one of these moves, at their new place."""
+    if len(moves) == 1:
+        return state.filter(F.col("place") == moves[0][0]).withColumn("place", F.lit(moves[0][1]))
+    table = F.broadcast(state.sparkSession.createDataFrame(moves, "place int, after int"))  # at most a row for each chain
+    return state.join(table, "place").withColumn("place", F.col("after")).drop("after")
 
-def reach(graph: KnowledgeGraph, chains: DataFrame, distinct_each_hop: bool = True) -> DataFrame:
-    """``chain_key, src, dst``, distinct."""
-    longest = chains.agg(F.max(F.size("hops"))).first()[0] or 0
-    prefix = lambda n: F.to_json(F.struct(F.slice("hops", 1, n).alias("c")))
-    edges = graph.distinct_edges.select(*(F.col(c).alias(f"e_{c}") for c in (*TYPE, "src", "dst")))
+
+def followed(graph: KnowledgeGraph, chains: list[Chain], carry: bool, back: bool = False, seed: int | None = None, distinct_each_hop: bool = True) -> DataFrame:
+    """``chain, at`` and, with ``carry``, ``start``: nodes at the ends of chains and where they came from.
+
+    ``back`` walks edges from dst to src. ``seed`` starts from one node. Without ``carry`` a hop is a semi-join in
+    effect: only the set of nodes goes on.
+    """
+    near, far = ("dst", "src") if back else ("src", "dst")
+    trie, columns = Trie(chains), ["place", "at", *(["start"] if carry else [])]
     state, found = None, []
-    for n in range(1, longest + 1):
-        link = F.element_at("hops", n)
-        level = chains.filter(F.size("hops") >= n).select(prefix(n - 1).alias("before"), prefix(n).alias("prefix"), *(link[t].alias(t) for t in TYPE)).distinct()
-        same_type = reduce(lambda a, b: a & b, (F.col(t) == F.col(f"e_{t}") for t in TYPE))
-        if state is None:
-            state = level.join(edges, same_type).select("prefix", F.col("e_src").alias("src"), F.col("e_dst").alias("dst"))
-        else:
-            state = state.withColumnRenamed("prefix", "before").join(level, "before").join(edges, same_type & (F.col("dst") == F.col("e_src"))).select("prefix", "src", F.col("e_dst").alias("dst"))
-        state = state.distinct() if distinct_each_hop else state
-        whole = chains.filter(F.size("hops") == n).select("chain_key", prefix(n).alias("prefix"))
-        found.append(state.join(whole, "prefix").select("chain_key", "src", "dst"))
-    if not found:
-        return graph.spark.createDataFrame([], "chain_key string, src long, dst long")
+    for n, by_type in enumerate(trie.moves):
+        parts = []
+        for edge_type, moves in by_type.items():
+            edges = graph.bag(edge_type) if n or not carry else graph.linked(edge_type)
+            edges = edges.select(F.col(near).alias("from"), F.col(far).alias("to"))
+            if n == 0:
+                some = edges if seed is None else edges.filter(F.col("from") == seed)
+                parts.append(some.select(F.lit(moves[0][1]).alias("place"), F.col("to").alias("at"), F.col("from").alias("start")).select(*columns))
+            else:
+                step = moved(state, moves).join(edges.distinct(), F.col("at") == F.col("from")).withColumn("at", F.col("to"))
+                parts.append(step.select(*columns))
+        state = reduce(DataFrame.unionByName, parts)
+        if distinct_each_hop and (n or not carry):
+            state = state.distinct()
+        ended = [(place, number) for place, number in trie.ends if any(place == after for moves in by_type.values() for _, after in moves)]
+        if ended:
+            found.append(moved(state, ended).withColumnRenamed("place", "chain"))
     out = reduce(DataFrame.unionByName, found)
     return out if distinct_each_hop else out.distinct()
 
 
-def connected(graph: KnowledgeGraph, chains: DataFrame, side: str = "src") -> DataFrame:
-    """``chain_key, id``: nodes at which a chain can start (``src``) or end (``dst``), by semi-joins alone."""
-    rows = chains.collect()  # one row per distinct chain of edge types
-    parts = []
-    for row in rows:
-        hops = [tuple(h) for h in row["hops"]]
-        hops = hops if side == "src" else hops[::-1]
-        near, far = ("src", "dst") if side == "src" else ("dst", "src")
-        keep = None
-        for et in reversed(hops):
-            edges = graph.bag(graph.require(et))
-            keep = (edges if keep is None else edges.join(keep.select(F.col("id").alias(far)), far, "left_semi")).select(F.col(near).alias("id"))
-        parts.append(keep.distinct().select(F.lit(row["chain_key"]).alias("chain_key"), "id"))
-    return reduce(DataFrame.unionByName, parts) if parts else graph.spark.createDataFrame([], "chain_key string, id long")
+def reach(graph: KnowledgeGraph, chains: list[Chain], src: int | None = None, dst: int | None = None, distinct_each_hop: bool = True) -> DataFrame:
+    """``chain, src, dst``, distinct; ``chain`` is the place in the list. From one ``src`` or to one ``dst`` alone if asked."""
+    check_types(graph, chains)
+    if not chains:
+        return graph.spark.createDataFrame([], "chain int, src long, dst long")
+    back = dst is not None
+    pairs = followed(graph, [c[::-1] for c in chains] if back else chains, True, back, dst if back else src, distinct_each_hop)
+    a, b = ("at", "start") if back else ("start", "at")
+    pairs = pairs.select("chain", F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.filter(F.col("src") == src) if back and src is not None else pairs
+
+
+def connected(graph: KnowledgeGraph, chains: list[Chain], side: str = "src") -> DataFrame:
+    """``chain, id``: nodes at which a chain can start (``src``) or end (``dst``); no pair is made on the way."""
+    check_types(graph, chains)
+    if not chains:
+        return graph.spark.createDataFrame([], "chain int, id long")
+    back = side == "src"
+    return followed(graph, [c[::-1] for c in chains] if back else chains, False, back).select("chain", F.col("at").alias("id"))

@@ -60,7 +60,7 @@ def grounded(graph: kg.KnowledgeGraph, rule: Rule, side: str) -> DataFrame:
     node_type = (rule.head.subject if side == "subject" else rule.head.object).node_type
     constant = R.constant(F.col("id"), F.lit(node_type))
     head = R.atom(F.col("head.relation"), constant if side == "subject" else F.col("head.subject"), F.col("head.object") if side == "subject" else constant)
-    nodes = graph.nodes.filter(F.col("node_type") == node_type).select("id")
+    nodes = graph.ids[node_type]
     rows = nodes.join(F.broadcast(one)).select(F.col("id").alias("ord"), F.lit(str(RuleType.AC1)).alias("rule_type"), head.alias("head"), "body")
     return R.with_keys(rows)
 
@@ -86,10 +86,9 @@ def learned(graph: kg.KnowledgeGraph) -> DataFrame:
 def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
     """(the graph without the test links, the test links)."""
     graph = kg.trade_graph(spark, d)
-    is_test = (F.col("relation") == "bought_from") & ((F.col("src") * 31 + F.col("dst")) % 20 == 0)
-    held = graph.bag(kg.BOUGHT_FROM).filter(is_test).select(F.col("src").alias("head_id"), F.col("dst").alias("tail_id")).distinct()
-    tests = held.withColumn("test_id", F.struct("head_id", "tail_id"))
-    return kg.KnowledgeGraph(graph.nodes, graph.edges.filter(~is_test), graph.edge_types), tests
+    is_test = (F.col("src") * 31 + F.col("dst")) % 20 == 0
+    tests = graph.linked(kg.BOUGHT_FROM).filter(is_test).toDF("head_id", "tail_id").withColumn("test_id", F.struct("head_id", "tail_id"))
+    return kg.KnowledgeGraph(graph.ids, {**graph.pairs, kg.BOUGHT_FROM: graph.bag(kg.BOUGHT_FROM).filter(~is_test)}), tests
 
 
 def all_ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
@@ -155,22 +154,21 @@ def named_graph(spark: SparkSession, d: str) -> DataFrame:
     return kg.KnowledgeGraph.from_named_edges(lies.unionByName(sells)).edges
 
 
-def mined(spark: SparkSession, d: str) -> RuleMiner:
-    return RuleMiner(MinerConfig(sample_size=200, max_length=3, max_attempts=20, target_edge_type=kg.BOUGHT_FROM)).fit(kg.trade_graph(spark, d))
+MINER = MinerConfig(target_edge_type=kg.BOUGHT_FROM)  # everything else as a miner has it by default
 
 
 def pipeline_fit(spark: SparkSession, d: str) -> DataFrame:
-    results = mined(spark, d).results
+    results = RuleMiner(MINER).fit(kg.trade_graph(spark, d).written()).results
     return measured(results.withColumn("rule", R.shown_rule(F.col("head"), F.col("body"))), "rule", "rule_type")
 
 
 def pipeline_predict(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mined(spark, d).predict(filter_known=True), "score")
+    return rounded(RuleMiner(MINER).fit(kg.trade_graph(spark, d).written()).predict(filter_known=True), "score").select("head_id", "tail_id", "score")
 
 
 def pipeline_evaluate(spark: SparkSession, d: str) -> DataFrame:
     graph, tests = split(spark, d)
-    miner = RuleMiner(MinerConfig(sample_size=200, max_length=3, max_attempts=20, target_edge_type=kg.BOUGHT_FROM)).fit(graph)
+    miner = RuleMiner(MINER).fit(graph.written())
     return rounded(miner.evaluate_predictions(tests.select("head_id", "tail_id")), "mrr", "hits")
 
 
@@ -191,8 +189,8 @@ QUERIES = {
     "kg_named_ids": named_graph,
     "kg_activity_edges": lambda spark, d: kg.activity_graph(spark, d).edges.groupBy("relation").agg(F.count("*").alias("edge_count"), F.count_distinct("src", "dst").alias("pairs")),
     "kg_synthetic": lambda spark, d: kg.synthetic_graph(spark, 500).edges.groupBy("relation").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.count_distinct("src", "dst").alias("pairs")),
-    "chain_reach_2hop": graph_query(lambda g: reach(g, chains_of(rules_frame(g.spark, [PART_RULE]))).drop("chain_key")),
-    "chain_reach_3hop": graph_query(lambda g: reach(g, chains_of(rules_frame(g.spark, [PEER_RULE]))).drop("chain_key")),
+    "chain_reach_2hop": graph_query(lambda g: reach(g, list(chains_of(rules_frame(g.spark, [PART_RULE])).values())).drop("chain")),
+    "chain_reach_3hop": graph_query(lambda g: reach(g, list(chains_of(rules_frame(g.spark, [PEER_RULE])).values())).drop("chain")),
     "metrics_cyclic": of_rules(NATION_RULE),
     "metrics_cyclic_parts": of_rules(PART_RULE),
     "metrics_ac1_subject": metrics_ac1("subject"),
