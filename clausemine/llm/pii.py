@@ -1,22 +1,23 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
-Candidates are the base matches (email, ip, card, phone) that pass their check and looser ones: written-out
-emails, and phone numbers in one North American form. There are no looser cards or ips, so for these two
-kinds nothing is added, and the regex never votes no. On each candidate three kinds of labelers vote yes, no
-or nothing: the regex (did the strict pattern and its check accept), gazetteers (known domain endings,
-card issuers, reserved address ranges, calling codes) and context (cue words before the span, what
+Candidates are all matches of the base patterns (email, ip, card, phone), those that fail their check too, and looser
+forms: written-out emails, cards and addresses with other separators, and phone numbers in one North American form.
+On each candidate three kinds of labelers vote yes, no
+or nothing: the regex (did the strict pattern and its check accept; no if the check failed), gazetteers (known domain endings,
+card issuers, reserved address ranges, calling codes) and context (cue words between the match before and the span, what
 touches it). The votes are counted over all candidates of all documents; expectation-maximisation on
-that table (at most 3^5 vote patterns for each kind, whatever the corpus) estimates how reliable each
+that table (at most 3^5 vote patterns for each kind, whatever the corpus) estimates for each kind how reliable each
 labeler is, and a logistic span classifier is trained on the posteriors. Base spans always stay; the
 classifier decides about the rest.
 
 Everything on the data is DataFrame functions. Positions come from the lengths of matches and of the
-gaps between them, in code points. Patterns are anchored to the start of a run and possessive, so no
-text makes them quadratic.
+gaps between them, in code points. Patterns are anchored to the start of a run and possessive, and spans
+are placed, compared and cut out in linear steps (see ``spans``), so very long texts and texts of very many spans
+cost in proportion.
 
 Defined results: null or empty text has no spans; repeated rows, null doc_ids and empty tables are
-plain rows or none; other columns are ignored; spans that touch the same characters as a base span of
-any kind are never added.
+plain rows or none; other columns are ignored; a candidate that touches the same characters as a base span of
+any kind is never added; equal spans of two kinds are both given.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, table, texts
+from .spans import PARTS, let, located, overlaps, piece, running
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -37,6 +39,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z.,+-])[0-9]{4}(?:[./_]|\x20[\x20-]\x20?)[0-9]{4}(?:[./_]|\x20[\x20-]\x20?)[0-9]{4}(?:[./_]|\x20[\x20-]\x20?)[0-9]{4}(?![0-9A-Za-z.,-])",
     "email": rf"(?<!{LOCAL})[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
@@ -52,7 +56,7 @@ CUES = {
     "phone": r"(?i)\b(phone|tel|telephone|call|mobile|cell|fax|telefon|contact)\W*\w{0,3}\W*$",
 }
 AGAINST = r"(?i)\b(version|v|isbn|issn|page|section|chapter|rev|release|build|order|sku|no)\W*$"
-CONTEXT, ROUNDS = 30, 40
+ROUNDS = 40
 VOTERS = ("regex", "gazetteer", "cue", "counter_cue", "edges")
 
 
@@ -64,22 +68,6 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + doubled(i)) % 10 == 0
 
 
-def located(text: Column, pattern: str, when: Column | None = None) -> Column:
-    """All leftmost matches as (start, end, match) in code points; start and end from the lengths of gaps and matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
-
-    def step(acc, pair):
-        a = acc["at"] + F.char_length(pair["gaps"])
-        b = a + F.char_length(pair["found"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), pair["found"].alias("match"))).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), found.alias("found")), lambda p: p["found"].isNotNull())
-    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return out if when is None else F.when(when, out).otherwise(start["out"])
-
-
 def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -96,11 +84,9 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def votes(text: Column, kind: str, base: bool, span: Column) -> Column:
+def votes(kind: str, regex: Column, span: Column) -> Column:
     """One digit per labeler, 0: no, 1: nothing, 2: yes."""
-    left = F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1), F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
-    match, digits = span["match"], digits_of(span["match"])
+    left, after, match, digits = span["left"], span["after"], span["match"], digits_of(span["match"])
     gazetteer = {
         "email": F.when(match.rlike(DOMAIN_ENDS), 2).otherwise(1),
         "ip": F.when(match.rlike(RESERVED), 0).otherwise(2),
@@ -109,7 +95,7 @@ def votes(text: Column, kind: str, base: bool, span: Column) -> Column:
     }[kind]
     touched = left.rlike(r"[\p{L}0-9_=/]$") | after.rlike(r"^[\p{L}0-9_=/]")
     return F.concat(
-        F.lit("2" if base else "1"),
+        regex,
         gazetteer.cast("string"),
         F.when(left.rlike(CUES[kind]), "2").otherwise("1"),
         F.when(left.rlike(AGAINST), "0").otherwise("1"),
@@ -117,32 +103,39 @@ def votes(text: Column, kind: str, base: bool, span: Column) -> Column:
     )
 
 
+def candidate(kind: str, strict: bool):
+    """A match as ``struct<k, start, end, base, votes>``."""
+
+    def made(s, base):
+        regex = F.when(base, "2").otherwise("0") if strict else F.lit("1")
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), votes(kind, regex, s).alias("votes"))
+
+    return lambda s: made(s, F.lit(False)) if not strict else let(valid(kind, s["match"]), lambda ok: made(s, ok))
+
+
 def candidates(text: Column) -> Column:
-    """``array<struct<k int, start int, end int, base boolean, votes string>>`` of a text column without nulls."""
-    arrays = []
+    """``array<struct<k int, start int, end int, base boolean, votes string>>`` of a text column without nulls: base spans, then others that touch none of them."""
     some_digit = text.rlike("[0-9]")
-    for base, patterns in ((True, BASE), (False, LOOSE)):
-        for kind, pattern in patterns.items():
-            when = text.contains("@") if base and kind == "email" else text.rlike(r"(?:at|AT)[\])]") if kind == "email" else text.contains("+") if base and kind == "phone" else some_digit
-            found = located(text, pattern, when)
-            if base:
-                found = F.filter(found, checked(kind))
-            arrays.append(F.transform(found, candidate(text, kind, base)))
-    return F.concat(*arrays)
-
+    hints = {("email", True): text.contains("@"), ("email", False): text.rlike(r"(?:at|AT)[\])]"), ("phone", True): text.contains("+"), ("ip", False): text.rlike(r"[\[(](?:\.|dot)[\])]"), ("card", False): text.rlike(r"[0-9]{4}[./_\x20-]{1,3}[0-9]{4}")}
+    strict = {kind: F.transform(located(text, pattern, hints.get((kind, True), some_digit)), candidate(kind, True)) for kind, pattern in BASE.items()}
+    loose = [F.transform(located(text, pattern, hints.get((kind, False), some_digit)), candidate(kind, False)) for kind, pattern in LOOSE.items()]
 
-def checked(kind: str):
-    return lambda s: valid(kind, s["match"])
+    def chosen(all_):
+        base = F.struct(*(F.filter(all_[kind], lambda s: s["base"]).alias(kind) for kind in KINDS))
+        others = F.concat(*(F.filter(all_[kind], lambda s: ~s["base"]) for kind in KINDS), all_["loose"])
 
+        def free(b):
+            def touches(s):
+                found = F.lit(False)
+                for kind in KINDS:
+                    found = found | overlaps(b[kind], s)
+                return found
 
-def candidate(text: Column, kind: str, base: bool):
-    return lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(text, kind, base, s).alias("votes"))
+            return F.concat(*(b[kind] for kind in KINDS), F.filter(others, lambda s: ~touches(s)))
 
+        return let(base, free)
 
-def free(found: Column) -> Column:
-    """The candidates without loose ones that overlap a base span."""
-    base = F.filter(found, lambda s: s["base"])
-    return F.filter(found, lambda s: s["base"] | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return let(F.struct(*(strict[kind].alias(kind) for kind in KINDS), F.concat(*loose).alias("loose")), chosen)
 
 
 def fit(spans: DataFrame, rounds: int = ROUNDS) -> dict[tuple[int, str], float]:
@@ -151,24 +144,28 @@ def fit(spans: DataFrame, rounds: int = ROUNDS) -> dict[tuple[int, str], float]:
     The table of patterns is bounded by the number of kinds and labelers, so it may come to the driver.
     """
     seen = [(r["k"], r["votes"], r["count"]) for r in spans.groupBy("k", "votes").count().collect()]
-    if not seen:
-        return {}
-    # EM: the rates of each labeler's votes given a true or a false span; a labeler starts a little better than chance
+    posteriors = [row for kind in range(len(KINDS)) for row in reliabilities([s for s in seen if s[0] == kind], rounds)]
+    return classifier(posteriors) if posteriors else {}
+
+
+def reliabilities(seen: list[tuple[int, str, int]], rounds: int) -> list[tuple[int, str, int, float]]:
+    """Expectation-maximisation over the vote patterns of one kind: each with its posterior of being true."""
+    # the rates of each labeler's votes given a true or a false span; a labeler starts a little better than chance
     rate = {(j, v, y): 0.5 if (v == 2) == (y == 1) and v != 1 else 0.25 for j in range(len(VOTERS)) for v in range(3) for y in (0, 1)}
     prior, post = 0.7, {}
-    for _ in range(rounds):
-        for k, w, _ in seen:
+    for _ in range(rounds if seen else 0):
+        for _, w, _ in seen:
             odds = math.log(prior / (1 - prior)) + sum(math.log(rate[j, int(v), 1] / rate[j, int(v), 0]) for j, v in enumerate(w))
-            post[k, w] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        total = {y: sum(n * (post[k, w] if y else 1 - post[k, w]) for k, w, n in seen) for y in (0, 1)}
+            post[w] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        total = {y: sum(n * (post[w] if y else 1 - post[w]) for _, w, n in seen) for y in (0, 1)}
         prior = min(0.99, max(0.01, (total[1] + 1) / (total[0] + total[1] + 2)))
         for j in range(len(VOTERS)):
             for y in (0, 1):
                 for v in range(3):
-                    hit = sum(n * (post[k, w] if y else 1 - post[k, w]) for k, w, n in seen if int(w[j]) == v)
+                    hit = sum(n * (post[w] if y else 1 - post[w]) for _, w, n in seen if int(w[j]) == v)
                     prefer = 2.0 if (v == 2) == (y == 1) and v != 1 else 1.0
                     rate[j, v, y] = (hit + prefer) / (total[y] + 4)
-    return classifier([(k, w, n, post[k, w]) for k, w, n in seen])
+    return [(k, w, n, post[w]) for k, w, n in seen]
 
 
 def features(k: int, w: str) -> list[float]:
@@ -203,13 +200,13 @@ def written(spans: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, name: str) -> DataFrame:
-    """Adds the candidates as a column of its own, so that no later expression searches a text again."""
-    return docs.withColumn(name, candidates(F.coalesce("text", F.lit("")))).withColumn(name, free(F.col(name)))
+    """Adds the candidates as a column, written, so that no later expression searches a text again."""
+    return materialize(docs.withColumn(name, candidates(F.coalesce("text", F.lit("")))), "pii-candidates")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    rows = materialize(with_candidates(texts(docs), "found").select("doc_id", "found"), "pii-candidates")
+    rows = materialize(texts(docs).select("doc_id", candidates(F.col("text")).alias("found")), "pii-candidates")
     model = fit(rows.select(F.explode("found").alias("s")).select("s.k", "s.votes"))
     rows = rows.withColumn("base", F.filter("found", lambda s: s["base"])).withColumn("all", decided(F.col("found"), model))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
@@ -231,17 +228,21 @@ def redact(docs: DataFrame) -> DataFrame:
     model = fit(rows.select(F.explode(found).alias("s")).select("s.k", "s.votes"))
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     spans = F.array_sort(F.transform(decided(F.col(found), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<from:int,size:int,k:int>>)").alias("out"))
 
-    def step(acc, s):
-        gap = F.struct(acc["at"].alias("from"), (s["start"] - acc["at"]).alias("size"), s["k"].alias("k"))
-        # a span that overlaps the one before only has its rest removed
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], gap)).alias("out"))
+    def cleaned(x):
+        """What stands between the spans, with the name of a kind after each; a span that overlaps the ones before only has its rest removed."""
+        size = F.char_length("text")
+
+        def joined(ends):
+            since = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            kept = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= since(i), F.concat(piece(x["parts"], since(i), s["start"] - since(i)), F.get(name, s["k"]))).otherwise(""))
+            last = since(F.size(ends))
+            return F.concat(F.array_join(kept, ""), piece(x["parts"], last, size - last))
+
+        return let(F.transform(x["spans"], lambda s: s["end"]), lambda ends: let(running(ends, F.greatest), joined))
 
-    rows = rows.withColumn(found, F.when(F.size(found) > 0, F.aggregate(spans, start, step)))
-    kept = F.transform(F.col(found)["out"], lambda g: F.concat(F.substring("text", g["from"] + 1, g["size"]), F.get(name, g["k"])))
-    clean = F.concat(F.array_join(kept, ""), F.substring("text", F.col(found)["at"] + 1, F.char_length("text")))
-    rows = rows.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(clean))
+    clean = let(F.struct(spans.alias("spans"), F.regexp_extract_all("text", F.lit(PARTS), F.lit(0)).alias("parts")), cleaned)
+    rows = rows.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*docs.columns)

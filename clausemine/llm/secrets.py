@@ -17,11 +17,14 @@ plain rows or none; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pii import located
 from .shared import table, texts
+from .spans import let, located, overlaps
 
 KINDS = ("assign", "access", "hex", "entropy")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -30,12 +33,17 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-#: Character classes, narrowest first: name, pattern, characters, entropy in bits that a window of 20 must reach.
+#: Character classes, narrowest first: name, pattern, entropy in bits that a window of 20 must reach.
 CLASSES = (
-    ("hex", "^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.1),
-    ("upper", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5),
-    ("base64", "^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
+    ("hex", "^[0-9a-fA-F]+$", 3.1),
+    ("upper", "^[A-Z0-9]+$", 3.5),
+    ("base64", "^[A-Za-z0-9+/_=-]+$", 3.8),
 )
+#: The characters of the widest class.
+LETTERS = string.ascii_letters + string.digits + "+/_=-"
+NUMBERS = [LETTERS.index(chr(i)) if chr(i) in LETTERS else len(LETTERS) for i in range(128)]
+FIELDS = 10
+LONGS = len(LETTERS) // FIELDS + 1
 #: A word or number of a path, and a part of it: shorter than a window, or words and numbers, or digits alone, or an id.
 STEP = "(?:[a-z]++[0-9]{0,4}+|[0-9]{1,4}+)"
 PART = rf"(?:(?![a-z0-9_-]{{{WINDOW}}})[a-z0-9_-]++|{STEP}(?:[_-]{STEP})*+|[0-9_-]++|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})"
@@ -51,30 +59,35 @@ ALLOWED = (
 ALLOWED_BEFORE = r"(?i)(sha-?1|sha-?256|sha-?512|md5|checksum|integrity|commit|revision|etag)\W{0,4}$"
 
 
-def window_entropy(word: Column, letters: str, window: int = WINDOW) -> Column:
-    """The highest entropy (bits a character) of any window, by incremental counts; words shorter than it are one window."""
-    size = F.least(F.lit(window), F.char_length(word))
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    place = lambda i: F.instr(F.lit(letters), F.substring(word, i, F.lit(1)))
-    put = lambda counts, at, v: F.concat(F.slice(counts, 1, at - 1), F.array(v), F.slice(counts, at + 1, len(letters)))
-    bits = lambda total: F.log2(size.cast("double")) - total / size
-    start = F.struct(F.array_repeat(F.lit(0), len(letters)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+def codes(word: Column) -> Column:
+    """Each character's number among ``LETTERS`` (others share the last number)."""
+    return F.transform(F.split(word, ""), lambda c: F.coalesce(F.get(F.array(*map(F.lit, NUMBERS)), F.ascii(c)), F.lit(len(LETTERS))))
 
-    def step(acc, i):
-        came = place(i)
-        c = F.get(acc["counts"], came - 1)
-        grown = F.struct(put(acc["counts"], came, c + 1).alias("counts"), (acc["total"] + term(c + 1) - term(c)).alias("total"))
 
-        def left(g):
-            gone = place(i - size)
-            d = F.get(g["counts"], gone - 1)
-            return F.struct(put(g["counts"], gone, d - 1).alias("counts"), (g["total"] + term(d - 1) - term(d)).alias("total"))
+def window_entropy(numbers: Column, window: int = WINDOW) -> Column:
+    """The highest entropy (bits a character) of any window over a bound array of codes, by incremental counts; shorter ones are one window.
+
+    The counts of all characters are fields of six bits in a few longs, so a step costs the same however many characters
+    there are. c * log2(c) comes from a table of ``window + 1`` numbers.
+    """
+    n = F.size(numbers)
+    size = F.least(F.lit(window), n)
+    terms = F.array(*(F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 2)))
+    one = [F.array(*(F.lit(1 << 6 * (i % FIELDS) if i // FIELDS == k else 0).cast("long") for i in range(len(LETTERS) + 1)), F.lit(0).cast("long")) for k in range(LONGS)]
+    slot, shift = (F.array(*(F.lit(f(i)) for i in range(len(LETTERS) + 1))) for f in (lambda i: i // FIELDS, lambda i: 6 * (i % FIELDS)))
+    count = lambda acc, c: F.call_function("shiftright", F.get(acc["counts"], F.get(slot, c)), F.get(shift, c)).bitwiseAND(63).cast("int")
+    nothing = F.lit(len(LETTERS) + 1)
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * LONGS).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
 
-        slid = F.get(F.transform(F.array(grown), lambda g: F.when(i > size, left(g)).otherwise(g)), F.lit(0))
-        scored = lambda g: F.struct(g["counts"].alias("counts"), g["total"].alias("total"), F.when(i >= size, F.greatest(acc["best"], bits(g["total"]))).otherwise(acc["best"]).alias("best"))
-        return F.get(F.transform(F.array(slid), scored), F.lit(0))
+    def step(acc, i):
+        came, gone = F.get(numbers, i - 1), F.when(i > size, F.get(numbers, i - size - 1))
+        c = count(acc, came)
+        d = F.when(gone.isNotNull(), count(acc, gone) + F.when(gone == came, 1).otherwise(0)).otherwise(1)  # one occurrence weighs nothing, so none that leaves counts as one
+        counts = F.array(*(F.get(acc["counts"], F.lit(k)) + F.get(one[k], came) - F.get(one[k], F.coalesce(gone, nothing)) for k in range(LONGS)))
+        total = acc["total"] + F.get(terms, c + 1) - F.get(terms, c) + F.get(terms, d - 1) - F.get(terms, d)
+        return let(total, lambda t: F.struct(counts.alias("counts"), t.alias("total"), F.when(i >= size, F.greatest(acc["best"], F.log2(size.cast("double")) - t / size)).otherwise(acc["best"]).alias("best")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(word)), start, step, lambda acc: acc["best"])
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["best"])).otherwise(0.0)
 
 
 def tagged(spans: Column, kind: str) -> Column:
@@ -82,43 +95,35 @@ def tagged(spans: Column, kind: str) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The strict matches that pass, as ``array<struct<start, k, end>>`` sorted by start, then kind."""
+    """The strict matches that pass, a sorted array for each kind: ``struct<assign, access, hex>``."""
     low = F.lower(text)
     named = low.contains(KEYWORDS[0])
     for word in KEYWORDS[1:]:
         named = named | low.contains(word)
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    assigned = F.arrays_zip(located(text, ASSIGN).alias("s"), values.alias("v"))
-    assigned = F.transform(F.filter(assigned, lambda p: F.length(p["v"]) >= 6), lambda p: p["s"])
-    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    assigned = F.when(named, assigned).otherwise(none)
+    assigned = F.filter(located(text, ASSIGN, named), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 6)
     access = F.filter(located(text, ACCESS, text.contains("AKIA")), lambda s: F.length(s["match"]) >= 20)
-    hexes = located(text, HEX)
-    return F.array_sort(F.concat(tagged(assigned, "assign"), tagged(access, "access"), tagged(hexes, "hex")))
+    return F.struct(tagged(assigned, "assign").alias("assign"), tagged(access, "access").alias("access"), tagged(located(text, HEX), "hex").alias("hex"))
 
 
 def entropy_spans(text: Column, base: Column, window: int = WINDOW) -> Column:
-    """Candidates above their class's threshold that neither a base span covers nor the allow-list suppresses."""
-    found = located(text, CANDIDATE)
-    found = F.filter(found, lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
-    found = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Candidates above their class's threshold that neither a base span (of a bound ``base``) covers nor the allow-list suppresses."""
     allowed = lambda m: F.greatest(*(m.rlike(p) for p in ALLOWED))
-    before = lambda s: F.substring(text, F.greatest(F.lit(1), s["start"] - 15), F.least(s["start"], F.lit(16)))
-    found = F.filter(found, lambda s: ~allowed(s["match"]) & ~before(s).rlike(ALLOWED_BEFORE))
-
     path = lambda s: F.char_length(F.regexp_extract(s["match"], PATH, 0))
-    rest = lambda s: F.substring(s["match"], F.greatest(F.lit(1), path(s) - window + 2), F.char_length(s["match"]))
-    found = F.filter(found, lambda s: path(s) < F.char_length(s["match"]))
-    # a field of its own: what is judged, all windows that leave the path, is cut out once and not for each step
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), rest(s).alias("rest")))
+
+    def plausible(s):
+        m = s["match"]
+        free = ~(overlaps(base["assign"], s) | overlaps(base["access"], s) | overlaps(base["hex"], s))
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & free & ~allowed(m) & ~s["left"].rlike(ALLOWED_BEFORE)
 
     def random(s):
-        verdict = F.lit(False)
-        for _, pattern, letters, least in reversed(CLASSES):
-            verdict = F.when(s["match"].rlike(pattern), window_entropy(s["rest"], letters, window) >= least).otherwise(verdict)
-        return verdict
+        """What is judged, all windows that leave the path, is cut out once and not for each step."""
+        least = F.lit(None).cast("double")
+        for _, pattern, bits in reversed(CLASSES):
+            least = F.when(s["match"].rlike(pattern), bits).otherwise(least)
+        rest = lambda n: F.substring(s["match"], F.greatest(F.lit(1), n - window + 2), F.char_length(s["match"]))
+        return let(path(s), lambda n: (n < F.char_length(s["match"])) & let(codes(rest(n)), lambda numbers: F.coalesce(window_entropy(numbers, window) >= least - 1e-9, F.lit(False))))
 
-    return tagged(F.filter(found, random), "entropy")
+    return tagged(F.filter(F.filter(located(text, CANDIDATE), plausible), random), "entropy")
 
 
 def written(spans: Column) -> Column:
@@ -128,8 +133,8 @@ def written(spans: Column) -> Column:
 
 def secret_scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans, n_entropy."""
-    rows = texts(docs).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("more", entropy_spans(F.col("text"), F.col("base"), window))
+    both = lambda b: F.struct(F.array_sort(F.concat(b["assign"], b["access"], b["hex"])).alias("base"), entropy_spans(F.col("text"), b, window).alias("more"))
+    rows = texts(docs).select("doc_id", let(base_spans(F.col("text")), both).alias("spans")).select("doc_id", "spans.*")
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return rows.select(
         "doc_id",

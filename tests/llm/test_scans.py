@@ -1,12 +1,15 @@
 """Personal data and secrets against plain regular expressions."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 from clausemine.llm.pii import luhn, personal_data, redact
-from clausemine.llm.secrets import secret_scan, window_entropy
+from clausemine.llm.secrets import codes, secret_scan, window_entropy
+from clausemine.llm.spans import let, overlaps, running
 from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -105,8 +108,8 @@ def test_window_entropy_is_the_highest_of_all_windows(spark):
         return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
     rng = random.Random(4)
-    words = ["".join(rng.choice("abcdef0123") for _ in range(rng.choice([5, 20, 33]))) for _ in range(20)]
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", window_entropy(F.col("w"), "abcdef0123456789").alias("h")).collect()
+    words = ["".join(rng.choice("abcdefXYZ+/0123-_=") for _ in range(rng.choice([5, 20, 33]))) for _ in range(20)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", let(codes(F.col("w")), lambda c: window_entropy(c)).alias("h")).collect()
     for r in got:
         assert abs(r.h - max(entropy(r.w[i : i + 20]) for i in range(max(1, len(r.w) - 19)))) < 1e-9
 
@@ -115,3 +118,77 @@ def test_luhn(spark):
     cards = ["4111111111111111", "4111111111111112", "378282246310005", "0"]
     got = {r.c: r.ok for r in spark.createDataFrame([(c,) for c in cards], "c string").select("c", luhn(F.col("c")).alias("ok")).collect()}
     assert got == {c: check_digit(c) for c in cards}
+
+
+def seconds(df):
+    began = time.time()
+    out = df.collect()
+    return time.time() - began, out
+
+
+def test_a_long_base64_run_costs_in_proportion(frame):
+    """A megabyte, one candidate: what it costs above a short text is near the cost of ten times a tenth."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    none, _ = min(seconds(secret_scan(frame([(1, run(100))]))) for _ in range(2))
+    tenth, _ = seconds(secret_scan(frame([(1, run(100_000))])))
+    whole, out = seconds(secret_scan(frame([(1, run(1_000_000))])))
+    assert (out[0].spans, out[0].n_entropy) == ("entropy:0:1000000", 1)
+    assert whole - none < 20 * max(tenth - none, 1.0)
+
+
+def test_a_text_of_very_many_spans_costs_in_proportion(frame):
+    text = lambda n: " ".join(f"10.{i % 250}.{i % 199}.{i % 251}" for i in range(n))
+    none, _ = min(seconds(personal_data(frame([(1, text(10))]))) for _ in range(2))
+    tenth, _ = seconds(personal_data(frame([(1, text(10_000))])))
+    whole, out = seconds(personal_data(frame([(1, text(100_000))])))
+    assert out[0].n_ip == 100_000 and out[0].base_sha256 == hashlib.sha256(joined(base_pii(text(100_000))).encode()).hexdigest()
+    assert whole - none < 20 * max(tenth - none, 1.0)
+    assert redact(frame([(1, text(100_000))])).collect()[0].text == " ".join(["<IP>"] * 100_000)
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(6)
+    rows = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 127, 128, 129, 256, 5000)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>").select("i", running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r.s == list(itertools.accumulate(rows[r.i])) and r.m == list(itertools.accumulate(rows[r.i], max))
+
+
+def test_overlaps_by_binary_search(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(60):
+        at, spans = 0, []
+        for _ in range(rng.randrange(12)):
+            at += rng.randrange(4)
+            spans.append((at, at := at + rng.randrange(1, 4)))
+        a = rng.randrange(40)
+        rows.append((spans, (a, a + rng.randrange(1, 6))))
+    for r in spark.createDataFrame(rows, "spans array<struct<start:int,end:int>>, s struct<start:int,end:int>").select("*", overlaps(F.col("spans"), F.col("s")).alias("hit")).collect():
+        assert r.hit == any(x < r.s.end and r.s.start < y for x, y in r.spans)
+
+
+def test_a_match_that_fails_its_check_is_voted_against(frame):
+    """The regex votes no on it, so no other labeler alone makes it personal data; base spans are never touched."""
+    good = [(i, f"visa 4111 1111 1111 1111 paid, call +1 555 123 45{i:02d}") for i in range(40)]
+    bad = [(100 + i, f"order no 4111 1111 1111 11{i:02d} shipped") for i in range(12, 40)]
+    out = {r.doc_id: r for r in personal_data(frame(good + bad)).collect()}
+    assert all(out[i].n_card == 1 for i in range(40))
+    assert all(out[i].n_added == 0 for i in range(112, 140))
+
+
+def test_redaction_against_plain_python(frame):
+    """Spans as the scan gives them, cut out of each text by Python."""
+    pairs = [(i, t) for i, (_, t) in enumerate(noisy(8))] + [(1000, "x" * 3000 + " me@example.com " + "é😀" * 900 + " 10.0.0.1"), (1001, None)]
+    spans = {r.doc_id: r.spans for r in personal_data(frame(pairs)).collect()}
+    kinds = ("email", "ip", "card", "phone")
+    for r in redact(frame(pairs)).collect():
+        text, out, at = dict(pairs)[r.doc_id], [], 0
+        found = sorted((int(a), int(b), kinds.index(k)) for k, a, b in (s.split(":") for s in filter(None, spans[r.doc_id].split(","))))
+        for a, b, k in found:
+            if a >= at:
+                out += [text[at:a], f"<{kinds[k].upper()}>"]
+            at = max(at, b)
+        assert r.text == (None if text is None else "".join(out) + text[at:])
