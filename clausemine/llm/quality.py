@@ -56,7 +56,7 @@ def shape(text: str) -> list[float]:
         min(1.0, len(RUNS.findall(text)) / n),
         sum(map(str.isupper, words)) / n,
         repeated,
-        counts.most_common(1)[0][1] / n if n > 5 else 0.0,
+        (counts.most_common(1)[0][1] - 1) / n,
         repeats(words),
         min(1.0, len(text) / n / 20),
         1 - len(set(lines)) / len(lines),

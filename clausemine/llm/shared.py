@@ -3,42 +3,32 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+TOP = Path(__file__).parents[2]
+_shipped: set[str] = set()
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the library from where the driver has it."""
-    env, top = spark.sparkContext.environment, str(Path(__file__).parents[2])
-    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([top, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+    """Let Python workers import the library: from where the driver has it, or, on a cluster, from an archive that Spark hands out."""
+    context = spark.sparkContext
+    context.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([str(TOP), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]))
+    if not context.master.startswith("local[") and context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = __package__.split(".")[0]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/{package}", "zip", TOP, package))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage, and a lost executor only costs the tasks it ran.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder; this cuts the lineage, and a lost executor only costs the tasks it ran."""
+    return stored(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

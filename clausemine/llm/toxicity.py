@@ -8,8 +8,10 @@
    for voters whose votes still correlate within a class: each of them weighs one over their number. Expectation-maximisation estimates each voter's rates and each document's posterior.
 3. A logistic regression on the votes and on hit counts is fitted to the posteriors and scores all texts.
 
-Labelled documents used: at most ``TRAIN_ROWS`` rows in hash order, so what reaches the driver is bounded
-(each as a short list of votes). Equal rows count once, and each doc_id gives its first text before any
+Documents used: at most ``TRAIN_ROWS`` labelled ones, for voters and label model, and at most ``UNLABELLED_ROWS``
+others, for the label model and the classifier, which so see texts that nobody labelled; both in hash order, so what reaches the driver is bounded
+(each as a short list of votes). A voter must stand in a fixed share of contexts for each toxic document, so
+what is a voter does not depend on how many labels there are, and voters need no cap. Equal rows count once, and each doc_id gives its first text before any
 gives a second; scoring covers every row and whole texts.
 
 Defined results: null or empty text is scored like any other (no votes); a null doc_id is not held
@@ -32,9 +34,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table, texts
 
-TRAIN_ROWS = 20_000
-MOST_VOTERS = 400
-LEAST_CONTEXTS, LEAST_SHARE = 8, 0.85
+TRAIN_ROWS, UNLABELLED_ROWS = 20_000, 5_000
+CONTEXTS_A_DOCUMENT, LEAST_SHARE = 0.025, 0.85
 STEMS = (4, 5, 6)
 ACCEPT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,11 +54,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return first_texts(docs, chosen, rows, "training")
+
+
+def unlabelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = UNLABELLED_ROWS) -> DataFrame:
+    """``doc_id, text, y`` of at most ``rows`` documents that are neither labelled nor held out; y is null."""
+    named = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    chosen = ids.join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return first_texts(docs, chosen.withColumn("y", F.lit(None).cast("int")), rows, "unlabelled")
+
+
+def first_texts(docs: DataFrame, chosen: DataFrame, rows: int, name: str) -> DataFrame:
+    """``doc_id, text, y`` of at most ``rows`` rows of the ``chosen`` (doc_id, y), as a written table."""
     known = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("print", F.xxhash64("text"))
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("print"))
     few = known.select("doc_id", "print").distinct().withColumn("turn", turn).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = known.join(F.broadcast(few.drop("turn")), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-    return materialize(found.select("doc_id", "text", "y"), "training")
+    return materialize(found.select("doc_id", "text", "y"), name)
 
 
 @dataclass
@@ -107,37 +121,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def mine(train: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Lexicon words and stems, numbered; at most MOST_VOTERS together."""
+    """Lexicon words and stems, numbered."""
+    toxic = train.filter("y = 1").count()
+    least = max(2, round(CONTEXTS_A_DOCUMENT * toxic))
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     pairs = train.select("y", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("before"), words.alias("word"))).alias("p"))
     contexts = pairs.select("y", "p.before", "p.word").filter("word is not null").distinct()
     counts = lambda key: [F.count(F.when(F.col("y") == 1, 1)).alias("n1"), F.count(F.when(F.col("y") == 0, 1)).alias("n0"), *([F.count_distinct("word").alias("kinds")] if key == "stem" else [F.lit(9).alias("kinds")])]
-    sure = (F.col("n1") >= LEAST_CONTEXTS) & (F.col("n1") >= LEAST_SHARE * (F.col("n1") + F.col("n0"))) & (F.col("kinds") > 1)
+    sure = (F.col("n1") >= least) & (F.col("n1") >= LEAST_SHARE * (F.col("n1") + F.col("n0"))) & (F.col("kinds") > 1)
     rank = [F.desc(F.col("n1") - 4 * F.col("n0")), "key"]
-    by_word = contexts.groupBy(F.col("word").alias("key")).agg(*counts("word")).filter(sure).orderBy(*rank).limit(MOST_VOTERS // 2)
+    by_word = contexts.groupBy(F.col("word").alias("key")).agg(*counts("word")).filter(sure).orderBy(*rank)
     stems = F.explode(F.array(*(F.when(F.char_length("word") > n, F.substring("word", 1, n)) for n in STEMS)))
-    by_stem = contexts.select("y", "word", "before", stems.alias("key")).filter("key is not null").groupBy("key").agg(*counts("stem")).filter(sure).orderBy(*rank).limit(MOST_VOTERS // 2)
+    by_stem = contexts.select("y", "word", "before", stems.alias("key")).filter("key is not null").groupBy("key").agg(*counts("stem")).filter(sure).orderBy(*rank)
     word_list, stem_list = [r["key"] for r in by_word.collect()], [r["key"] for r in by_stem.collect()]
     return {w: i for i, w in enumerate(word_list)}, {s: len(word_list) + i for i, s in enumerate(stem_list)}
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25, alike: float = 0.5) -> np.ndarray:
-    """Posterior of the toxic class per row from 0/1 votes and the given label, a voter among others.
+    """Posterior of the toxic class per row from 0/1 votes and the given label (-1: none), a voter among others.
 
     A voter whose votes correlate with those of others by more than ``alike`` within the classes weighs
     one over the number of these, itself included.
     """
     share = np.ones(votes.shape[1])
-    post = np.where(given == 1, 0.9, 0.1)
+    known, base = given >= 0, (given == 1).sum() / max((given >= 0).sum(), 1)
+    post = np.where(known, np.where(given == 1, 0.9, 0.1), base)
     for k in range(rounds):
         if k == rounds // 2:
             share = 1 / group_sizes(votes, post, alike)
         q = np.stack([1 - post, post])
         rate = (q @ votes + 0.5) / (q.sum(1, keepdims=True) + 1)
-        right = np.array([(q[y][given == 1].sum() + (1 if y == 0 else 99)) / (q[y].sum() + 100) for y in (0, 1)])
+        right = np.array([(q[y][given == 1].sum() + (1 if y == 0 else 99)) / (q[y][known].sum() + 100) for y in (0, 1)])
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         yes, no = np.log(rate[1] / rate[0]) * share, np.log((1 - rate[1]) / (1 - rate[0])) * share
-        odds = np.log(prior / (1 - prior)) + votes @ (yes - no) + no.sum() + np.where(given == 1, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0])))
+        odds = np.log(prior / (1 - prior)) + votes @ (yes - no) + no.sum()
+        odds = odds + np.where(known, np.where(given == 1, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))), 0.0)
         post = sigmoid(odds)
     return post
 
@@ -163,7 +181,7 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 20)
     return w
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
     train = training_rows(docs, labels, "toxic", rows)
     words, stems = mine(train)
     model = Model(words=words, stems=stems)
@@ -172,10 +190,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.votes(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["y", "votes"])
 
-    seen = train.select("text", "y").mapInArrow(vote, "y int, votes array<int>").collect()  # at most `rows` short lists
-    given = np.array([r["y"] for r in seen])
-    model.base = float(given.mean()) if len(given) else 0.0
-    if len(set(given.tolist())) == 2:
+    more = train.unionByName(unlabelled_rows(docs, labels, "toxic", unlabelled))
+    seen = more.select("text", "y").mapInArrow(vote, "y int, votes array<int>").collect()  # at most `rows` + `unlabelled` short lists
+    given = np.array([-1 if r["y"] is None else r["y"] for r in seen], int)
+    labelled = given[given >= 0]
+    model.base = float(labelled.mean()) if len(labelled) else 0.0
+    if len(set(labelled.tolist())) == 2:
         votes = [r["votes"] for r in seen]
         x = model.features(votes)
         post = label_model(x[:, : model.voters], given)
