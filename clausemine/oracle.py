@@ -90,8 +90,8 @@ LEFT JOIN {rivals} r ON r.{given} = h.{given} AND r.score > h.own AND r.{sought}
 GROUP BY h.head_id, h.tail_id"""
 
 
-def link_metrics(filtered: bool) -> str:
-    return f"""{GRAPH}{TRAINED}, ranks AS ({ranked("tail", filtered)} UNION ALL {ranked("head", filtered)})
+def link_metrics(filtered: bool, scored: str | None = None) -> str:
+    return f"""{scored or GRAPH + TRAINED}, ranks AS ({ranked("tail", filtered)} UNION ALL {ranked("head", filtered)})
 SELECT round(avg(1.0 / rank), 9) AS mrr, k::INT AS k, round(avg((rank <= k)::INT::DOUBLE), 9) AS hits, count(*) AS num_queries
 FROM ranks, (VALUES (1), (3), (10)) v(k) GROUP BY k"""
 
@@ -166,6 +166,41 @@ FROM_PATHS = f"{GRAPH}, {sample(TRIPLES, 5, None, TARGET)}, {walks(HOPS, 1, None
 TRIPLE_COLUMNS = "draw_id, head_id, tail_id, head_type, tail_type, relation"
 
 
+#: Distinct rules of walks with their metrics: the pairs of all their chains hop by hop, chains as data. A miner over
+#: customers and suppliers walks from one type to another, so it finds no AC2 rule.
+MINED_HOPS, MINER_ATTEMPTS = 4, 100
+MINED = (
+    """,
+mined AS MATERIALIZED (SELECT DISTINCT rule, rule_type, variant, CASE variant WHEN 1 THEN path[1].id WHEN 2 THEN path[-1].id END AS entity,
+  list_transform(range(1, len(path)), lambda i: path[i].t || '|' || path[i].rel || '|' || path[i + 1].t) AS chain FROM rules WHERE NOT tautological),
+chains AS MATERIALIZED (SELECT DISTINCT chain FROM mined),
+typed AS MATERIALIZED (SELECT src_type || '|' || relation || '|' || dst_type AS t, src, dst FROM set_edges),
+h1 AS MATERIALIZED (SELECT DISTINCT chain[1:1] AS prefix, src, dst FROM chains JOIN typed ON t = chain[1])"""
+    + "".join(
+        f""",
+h{n} AS MATERIALIZED (SELECT DISTINCT c.prefix, h.src, e.dst FROM h{n - 1} h JOIN (SELECT DISTINCT chain[1:{n - 1}] AS before, chain[1:{n}] AS prefix, chain[{n}] AS t FROM chains WHERE len(chain) >= {n}) c ON c.before = h.prefix JOIN typed e ON e.t = c.t AND e.src = h.dst)"""
+        for n in range(2, MINED_HOPS + 1)
+    )
+    + """,
+reached AS MATERIALIZED (SELECT prefix AS chain, r.src, r.dst, (k.src IS NOT NULL)::INT AS known FROM ("""
+    + " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, MINED_HOPS + 1))
+    + f""") r SEMI JOIN chains ON chain = prefix LEFT JOIN (SELECT DISTINCT src, dst FROM {of_type(BOUGHT_FROM)}) k ON r.src = k.src AND r.dst = k.dst),
+by_pair AS (SELECT chain, 0 AS variant, NULL::BIGINT AS entity, count(*) AS preds, sum(known) AS hits FROM reached GROUP BY chain
+  UNION ALL SELECT chain, 1, src, count(*), sum(known) FROM reached GROUP BY chain, src UNION ALL SELECT chain, 2, dst, count(*), sum(known) FROM reached GROUP BY chain, dst),
+learned AS MATERIALIZED (SELECT * FROM (SELECT rule, rule_type, m.variant, m.entity, m.chain, coalesce(hits, 0)::BIGINT AS support, coalesce(hits / preds, 0) AS confidence,
+  coalesce(hits, 0) / (SELECT count(*) FROM {of_type(BOUGHT_FROM)}) AS head_coverage, coalesce(preds, 0)::BIGINT AS num_predictions
+  FROM mined m LEFT JOIN by_pair p ON p.chain = m.chain AND p.variant = m.variant AND p.entity IS NOT DISTINCT FROM m.entity)
+  WHERE support >= 2 AND confidence >= 0.01 AND head_coverage >= 0.01),
+scored AS MATERIALIZED (SELECT src AS head_id, dst AS tail_id, round(1 - product(1 - confidence), 9) AS score
+  FROM reached r JOIN learned l ON l.chain = r.chain AND (l.variant = 0 OR (l.variant = 1 AND l.entity = r.src) OR (l.variant = 2 AND l.entity = r.dst)) GROUP BY ALL)"""
+)
+FITTED = f", {sample(2000, 42, None, TARGET)}, {walks(MINED_HOPS, 2, 'uniform', MINER_ATTEMPTS, 42)}, {GENERAL}{MINED}"
+#: The same from the edges that are not held out.
+IS_TEST = "relation = 'bought_from' AND (src * 31 + dst) % 20 = 0"
+TRAIN_GRAPH = GRAPH.replace("edges AS MATERIALIZED", "all_edges AS MATERIALIZED").replace("),\nset_edges", f"),\nedges AS MATERIALIZED (SELECT * FROM all_edges WHERE NOT ({IS_TEST})),\nset_edges")
+HELD = f", held AS (SELECT DISTINCT src, dst FROM all_edges WHERE {IS_TEST}), known AS (SELECT DISTINCT src AS head_id, dst AS tail_id FROM {of_type(BOUGHT_FROM)})"
+
+
 def named_ids() -> str:
     return """WITH named AS (
 SELECT 'nation' AS src_type, n_name AS src_name, 'in_region' AS relation, 'region' AS dst_type, r_name AS dst_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -202,7 +237,7 @@ SQL = {
     "metrics_ac2_object": f"{GRAPH} {AC2_OBJECT}",
     "metrics_batch_thresholds": f"{GRAPH}{BATCH} SELECT * FROM batch WHERE support >= 2 AND confidence >= 0.3255 AND head_coverage >= 0.03",
     "metrics_batch_max_results": f"{GRAPH}{BATCH} SELECT * FROM batch WHERE support >= 2 AND confidence >= 0.01 AND head_coverage >= 0.01 ORDER BY ord LIMIT 3",
-    "top_rules": f"{GRAPH}{BATCH} SELECT * FROM batch ORDER BY confidence DESC, support DESC LIMIT 3",
+    "top_rules": f"{GRAPH}{BATCH} SELECT * FROM batch ORDER BY confidence DESC, support DESC, ord LIMIT 3",
     "noisy_or_confidence": "SELECT l_suppkey::BIGINT AS l_suppkey, round(1 - product(1 - l_discount / 10), 9) AS score FROM lineitem GROUP BY 1",
     "chain_groups": f"{GRAPH}{SCORED} SELECT 'cyclic' AS kind, NULL::BIGINT AS entity, round(c, 9) AS confidence FROM scored_all UNION ALL SELECT 'object', id, round(coalesce(c, 0), 9) FROM nodes LEFT JOIN scored_one ON dst = id WHERE node_type = 'supplier'",
     "predict_all": f"{GRAPH}{SCORED} SELECT head_id, tail_id, 'customer' AS head_type, 'supplier' AS tail_type, 'bought_from' AS relation, score FROM scored WHERE score > 0",
@@ -229,5 +264,8 @@ SQL = {
     "rule_strings": f"{FROM_PATHS} SELECT DISTINCT rule, len(body)::INT AS length FROM rules",
     "rule_variables": f"{FROM_PATHS} SELECT DISTINCT rule, array_to_string(list_sort(list_distinct(list_concat(v, list_filter([s, o], lambda x: x IN ('X', 'Y'))))), ',') AS variables FROM rules",
     "rule_constants": f"{FROM_PATHS} SELECT DISTINCT rule, array_to_string(list_filter([s, o], lambda x: x NOT IN ('X', 'Y')), ',') AS constants FROM rules",
+    "pipeline_fit": f"{GRAPH}{FITTED} SELECT rule, rule_type, support, round(confidence, 9) AS confidence, round(head_coverage, 9) AS head_coverage, num_predictions FROM learned",
+    "pipeline_predict": f"{GRAPH}{FITTED} SELECT head_id, tail_id, score FROM scored ANTI JOIN (SELECT DISTINCT src, dst FROM {of_type(BOUGHT_FROM)}) k ON head_id = k.src AND tail_id = k.dst WHERE score > 0",
+    "pipeline_evaluate": link_metrics(True, f"{TRAIN_GRAPH}{FITTED}{HELD}"),
     "dedup_rules": f"{FROM_PATHS} SELECT rule, min(draw_id) AS first_draw FROM rules WHERE NOT tautological GROUP BY rule",
 }

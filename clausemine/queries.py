@@ -17,7 +17,7 @@ from .operators.ranking import link_metrics, ranks
 from .operators.reach import chains_of, reach
 from .operators.sampling import sample_triples
 from .operators.walks import enumerate_paths, random_walks
-from .oracle import ATTEMPTS, HOPS, SQL, TRIPLES
+from .oracle import ATTEMPTS, HOPS, MINER_ATTEMPTS, SQL, TRIPLES
 from .plans.rule_miner import RuleMiner
 from .rules import Atom, Rule, RuleType, Term, rules_frame
 from .sources import knowledge_graph as kg
@@ -154,7 +154,7 @@ def named_graph(spark: SparkSession, d: str) -> DataFrame:
     return kg.KnowledgeGraph.from_named_edges(lies.unionByName(sells)).edges
 
 
-MINER = MinerConfig(target_edge_type=kg.BOUGHT_FROM)  # everything else as a miner has it by default
+MINER = MinerConfig(target_edge_type=kg.BOUGHT_FROM, max_attempts=MINER_ATTEMPTS)  # everything else as a miner has it by default
 
 
 def pipeline_fit(spark: SparkSession, d: str) -> DataFrame:

@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local session that names none (tests, a laptop) gets a temporary folder; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir`` (a temporary one where none is set), partitioned by columns if asked."""
+    """``df`` as a Parquet table in the shared folder, partitioned by columns if asked."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by or []).parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
