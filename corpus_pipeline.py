@@ -6,8 +6,8 @@ return the columns of ``documents``; the last returns the packed pieces.
 
 Defined results: rows are told apart by a number that a dedup stage gives each of its input rows,
 so null or repeated doc_ids cost no text: of each group exactly one row stays, whatever its doc_id.
-Null texts count as empty and stay null. SQL cannot express the toxicity classifier, so there is no ORACLE_SQL; tests hold every
-stage against a brute-force version.
+Null texts count as empty and stay null. SQL cannot express the toxicity classifier, so there is no ORACLE_SQL; tests hold
+the classifier to held-out rows, and the README names the stages without a brute-force version.
 """
 
 from __future__ import annotations
