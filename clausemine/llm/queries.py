@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import chunk_bpe, embedding_dedup, exact_dedup, packing, pii, quality, secrets, simhash_dedup, token_files, toxicity
+from . import chunk_bpe, embedding_dedup, exact_dedup, fill_middle, packing, pii, prefix_trie, quality, secrets, simhash_dedup, slack_packing, token_files, toxicity
 from .shared import importable
 
 
@@ -30,7 +30,10 @@ QUERIES = {
         chunk_bpe.op8_chunk_bpe,
         packing.op9_packing,
         quality.op10_quality,
+        prefix_trie.op11_prefix_trie,
+        fill_middle.op12_fill_middle,
+        slack_packing.op13_slack_packing,
     )
 }
 
-SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_fill_middle": fill_middle.OP12_SQL}
