@@ -114,6 +114,12 @@ def split(rope: Rope, rank: int, by_chars: bool = False) -> tuple[Rope, Rope]:
     return joined(rope.left, a), b
 
 
+def over(leaves: list[Rope]) -> Rope:
+    """A tree over leaves, halved at each node."""
+    half = len(leaves) // 2
+    return node(over(leaves[:half]), over(leaves[half:])) if half else leaves[0]
+
+
 def rope_of(text: str, unit: str = CODE_POINT, most: int = LEAF) -> Rope:
     """The tree of a text; what stands before the first unit belongs to it."""
     if unit == CODE_POINT:
@@ -122,9 +128,7 @@ def rope_of(text: str, unit: str = CODE_POINT, most: int = LEAF) -> Rope:
         starts = [m.start() for m in re.finditer(unit, text) if m.end() > m.start()]
         cuts = [0, *starts[most::most], len(text)]
         level = [leaf(text[a:b], tuple(max(s, a) - a for s in starts[i * most : (i + 1) * most])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))] if text else []
-    while len(level) > 1:
-        level = [node(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0] if level else EMPTY
+    return over(level) if level else EMPTY
 
 
 def rearranged(rope: Rope, form: str, first: int, second: int) -> tuple[Rope, int, int]:
