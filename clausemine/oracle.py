@@ -102,7 +102,8 @@ def draw(*key: str) -> str:
 
 def sample(n: int, seed: int, weight: str | None, where: str = "true") -> str:
     """``draw_id, head_id, ...`` as the samplers draw them; weight None draws among all edges."""
-    numbered = "numbered AS (SELECT *, row_number() OVER (PARTITION BY src_type, relation, dst_type ORDER BY src % 64, src, dst) - 1 AS at FROM edges)"
+    numbered = """copied AS (SELECT *, row_number() OVER (PARTITION BY src_type, relation, dst_type, src, dst) > 1 AS again FROM edges),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY src_type, relation, dst_type ORDER BY again, src, dst) - 1 AS at FROM copied)"""
     spans = f"eligible AS (SELECT * FROM types WHERE {where}), draws AS (SELECT range AS draw_id FROM range(least({n}, (SELECT sum(edge_count) FROM eligible))::BIGINT))"
     if weight is None:
         placed = f"""spans AS (SELECT *, sum(edge_count) OVER (ORDER BY ordinal) AS hi, (SELECT sum(edge_count) FROM eligible) AS total FROM eligible),
@@ -125,7 +126,7 @@ def walks(hops: int, least: int, random: str | None, attempts: int = 1, seed: in
     ids = "draw_id, attempt" if random else "draw_id"
     out = [f"w0 AS (SELECT {'draw_id, a.range AS attempt' if random else 'draw_id'}, tail_id, tail_type, head_id AS cur, head_type AS cur_type, []::STRUCT(id BIGINT, t VARCHAR, rel VARCHAR)[] AS path FROM triples{f', range({attempts}) a' if random else ''})"]
     if random:
-        out.insert(0, "adjacent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src_type, relation, dst_type, src ORDER BY dst % 16, dst) - 1 AS at, count(*) OVER (PARTITION BY src_type, relation, dst_type, src) AS degree FROM set_edges)")
+        out.insert(0, "adjacent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src_type, relation, dst_type, src ORDER BY dst) - 1 AS at, count(*) OVER (PARTITION BY src_type, relation, dst_type, src) AS degree FROM set_edges)")
         out.insert(1, "choices AS (SELECT *, row_number() OVER (PARTITION BY src_type ORDER BY ordinal) - 1 AS idx, count(*) OVER (PARTITION BY src_type) AS n, sum(1.0 / edge_count) OVER (PARTITION BY src_type ORDER BY ordinal) / sum(1.0 / edge_count) OVER (PARTITION BY src_type) AS share FROM types)")
         out.insert(2, "bounds AS (SELECT *, CASE WHEN idx = n - 1 THEN 1.0 ELSE share END AS hi, coalesce(lag(share) OVER (PARTITION BY src_type ORDER BY ordinal), 0.0) AS lo FROM choices)")
     for h in range(1, hops + 1):

@@ -21,6 +21,7 @@ from .oracle import ATTEMPTS, HOPS, MINER_ATTEMPTS, SQL, TRIPLES
 from .plans.rule_miner import RuleMiner
 from .rules import Atom, Rule, RuleType, Term, rules_frame
 from .sources import knowledge_graph as kg
+from .sources.edge_index import EdgeIndex
 from .sources.storage import stored
 
 X, Y = Term.variable("X", "customer"), Term.variable("Y", "supplier")
@@ -129,8 +130,9 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
 def walked(strategy: WalkStrategy):
     def query(spark: SparkSession, d: str) -> DataFrame:
         graph = kg.trade_graph(spark, d)
-        triples = sample_triples(graph, SamplerConfig(1000, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM))
-        return random_walks(graph, triples, WalkConfig(HOPS, 2, ATTEMPTS, strategy, 5)).select("draw_id", "attempt", shown_path())
+        index = EdgeIndex(graph)
+        triples = stored(sample_triples(graph, SamplerConfig(1000, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM), index), "triples")
+        return random_walks(graph, triples, WalkConfig(HOPS, 2, ATTEMPTS, strategy, 5), index).select("draw_id", "attempt", shown_path())
 
     return query
 

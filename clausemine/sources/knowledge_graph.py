@@ -8,7 +8,7 @@ dst)`` is a bag. Both are unions made on demand; operators read the types that t
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -184,10 +184,21 @@ SUPPLIED = ("part", "supplied_by", "supplier")
 BOUGHT_FROM = ("customer", "bought_from", "supplier")
 
 
+TRADE_KEYS = {
+    "customer": "c_custkey long, c_nationkey long",
+    "supplier": "s_suppkey long, s_nationkey long",
+    "nation": "n_nationkey long, n_regionkey long",
+    "region": "r_regionkey long",
+    "part": "p_partkey long",
+    "orders": "o_orderkey long, o_custkey long",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long",
+}
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
     """The order tables as a graph; the keys of the tables are the ids."""
-    table = cache(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))  # a schema is read once
-    read = lambda t, *cols: table(t).select(*cols)
+    # keys are whole numbers of any width; a stated schema spares a look into each file
+    read = lambda t, *cols: spark.read.schema(TRADE_KEYS[t]).parquet(f"{sf_dir}/{t}.parquet").select(*cols)
     orders = read("orders", F.col("o_orderkey").alias("k"), "o_custkey")
     lines = read("lineitem", F.col("l_orderkey").alias("k"), "l_partkey", "l_suppkey")
     sold = orders.join(lines, "k")
