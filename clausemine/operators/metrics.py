@@ -1,7 +1,7 @@
 """Support, confidence, head coverage and number of predictions of many rules at once.
 
-All rules with one body and head relation are aggregates of one relation, the body's reach with a mark
-on the pairs that are known: the whole of it for cyclic rules, a group per source or destination for
+All rules with one body and head relation are aggregates of one relation, the body's reach with the known
+links marked among its bits: the whole of it for cyclic rules, a group per source or destination for
 rules with a constant. Rules with one connected variable (AC2) count its bindings times all nodes of the
 other type without making the pairs. Reach and known pairs are sets; head coverage and the support of
 AC2 rules count raw edges.
@@ -9,31 +9,43 @@ AC2 rules count raw edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RuleConfig
 from ..functions.rule_columns import chain, signature
 from ..sources.knowledge_graph import EdgeType, KnowledgeGraph
-from ..sources.storage import stored
-from .reach import Chain, check_types, connected, reach
+from ..sources.storage import ranked, stored
+from .reach import Chain, ReachStore, check_types, connected, packed, unpacked, words
 
 METRICS = ["support", "confidence", "head_coverage", "num_predictions"]
 
 
-def flagged_reach(graph: KnowledgeGraph, wanted: list[tuple[Chain, EdgeType]]) -> DataFrame:
-    """``pair, src, dst, known``: the reach of each (chain, head type), and whether the head has the link."""
-    chains, heads = list(dict.fromkeys(c for c, _ in wanted)), list(dict.fromkeys(h for _, h in wanted))
-    pairs = reach(graph, chains)
-    if len(heads) == 1:  # chains are pairs then
-        known = graph.linked(heads[0]).withColumn("known", F.lit(1))
-        return pairs.withColumnRenamed("chain", "pair").join(known, ["src", "dst"], "left").select("pair", "src", "dst", F.coalesce("known", F.lit(0)).alias("known"))
-    table = graph.spark.createDataFrame([(chains.index(c), heads.index(h), i) for i, (c, h) in enumerate(wanted)], "chain int, head int, pair int")
-    known = None
-    for i, h in enumerate(heads):
-        part = graph.linked(h).select(F.lit(i).alias("head"), "src", "dst", F.lit(1).alias("known"))
-        known = part if known is None else known.unionByName(part)
-    return pairs.join(F.broadcast(table), "chain").join(known, ["head", "src", "dst"], "left").select("pair", "src", "dst", F.coalesce("known", F.lit(0)).alias("known"))
+def flagged_reach(graph: KnowledgeGraph, wanted: list[tuple[Chain, EdgeType]], store: ReachStore | None = None) -> DataFrame:
+    """``pair, src, word, bits, known``: the reach of each (chain, head type) in words, and the bits of the links that the head has."""
+    chains, heads = {}, {}
+    for c, h in wanted:
+        chains.setdefault(c, len(chains))
+        heads.setdefault(h, len(heads))
+    reached = store.words(list(chains)) if store else words(graph, list(chains))
+    known = [packed(graph.bag(h), "src", "dst").select(F.lit(i).alias("head"), F.col("from").alias("src"), "word", F.col("bits").alias("links")) for h, i in heads.items()]
+    if len(heads) == 1:  # pairs are chains then, in the same order
+        joined = reached.withColumnRenamed("chain", "pair").join(known[0].drop("head"), ["src", "word"], "left")
+    else:
+        table = graph.spark.createDataFrame([(chains[c], heads[h], i) for i, (c, h) in enumerate(wanted)], "chain int, head int, pair int")
+        joined = reached.join(F.broadcast(table), "chain").join(reduce(DataFrame.unionByName, known), ["head", "src", "word"], "left")
+    return joined.select("pair", "src", "word", "bits", F.col("bits").bitwiseAND(F.coalesce("links", F.lit(0))).alias("known"))
+
+
+def counted(flagged: DataFrame, by: str | None) -> DataFrame:
+    """``pair, preds, hits``, with ``by`` a row for each source or destination (``entity``)."""
+    if by == "dst":
+        ends = unpacked(flagged.select("pair", "word", "known", "bits"), "bits", "entity")
+        return ends.groupBy("pair", "entity").agg(F.count("*").alias("preds"), F.sum(F.call_function("getbit", F.col("known"), F.col("entity").bitwiseAND(63).cast("int"))).alias("hits"))
+    group = ["pair"] if by is None else ["pair", F.col("src").alias("entity")]
+    return flagged.groupBy(*group).agg(F.sum(F.bit_count("bits")).alias("preds"), F.sum(F.bit_count("known")).alias("hits"))
 
 
 def connected_side(head: Column, body: Column) -> Column:
@@ -43,8 +55,8 @@ def connected_side(head: Column, body: Column) -> Column:
     return F.when(s & ~o, "src").when(o & ~s, "dst")
 
 
-def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
-    """The rules with their metrics, a row each. Unknown edge types in a body or head raise ValueError.
+def evaluate(graph: KnowledgeGraph, rules: DataFrame, store: ReachStore | None = None) -> DataFrame:
+    """The rules with their metrics, a row each. Unknown edge types in a body or head raise ValueError. Reach is taken from ``store`` if there is one.
 
     The distinct (chain, head type) pairs come to the driver; they are as few as chains are.
     """
@@ -63,7 +75,7 @@ def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
     parts = [keyed.filter("rule_type = 'ac2'").join(F.broadcast(ac2_counts(graph, rows, hops, number)), ["pair", "side"], "left").select(*columns)] if "ac2" in kinds or not kinds else []
     if kinds - {"ac2"}:
         wanted = list(dict.fromkeys((r["chain_key"], tuple(r["h"])) for r in rows if r["rule_type"] != "ac2"))
-        flagged = flagged_reach(graph, [(hops[k], h) for k, h in wanted])
+        flagged = flagged_reach(graph, [(hops[k], h) for k, h in wanted], store)
         renumber = graph.spark.createDataFrame([(i, number[w]) for i, w in enumerate(wanted)], "pair int, to int")
     subject, obj = F.col("head.subject.entity_id"), F.col("head.object.entity_id")
     ways = [("cyclic", F.lit(True), None, None), ("ac1", subject.isNotNull(), subject, "src"), ("ac1", subject.isNull(), obj, "dst")]
@@ -73,13 +85,10 @@ def evaluate(graph: KnowledgeGraph, rules: DataFrame) -> DataFrame:
         flagged = stored(flagged, "flagged-reach")
     for kind, which, entity, by in ways:
         group = ["pair"] if by is None else ["pair", "entity"]
-        counted = (flagged if by is None else flagged.withColumn("entity", F.col(by))).groupBy(*group).agg(F.count("*").alias("preds"), F.sum("known").alias("hits"))
-        counted = counted.join(F.broadcast(renumber), "pair").withColumn("pair", F.col("to")).drop("to")
+        counts = counted(flagged, by).join(F.broadcast(renumber), "pair").withColumn("pair", F.col("to")).drop("to")
         some = keyed.filter((F.col("rule_type") == kind) & which)
-        parts.append((some if by is None else some.withColumn("entity", entity)).join(counted, group, "left").select(*columns))
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.unionByName(part)
+        parts.append((some if by is None else some.withColumn("entity", entity)).join(counts, group, "left").select(*columns))
+    counts = reduce(DataFrame.unionByName, parts)
     used = [h for h in dict.fromkeys(h for _, h in table)] or list(graph.edge_types[:1])
     heads = graph.edges_of(tuple(used)).groupBy(F.struct("src_type", "relation", "dst_type").alias("h")).agg(F.count("*").alias("edge_count"))
     preds, hits = F.coalesce("preds", F.lit(0)), F.when(F.coalesce("preds", F.lit(0)) > 0, F.coalesce("hits", F.lit(0))).otherwise(0)
@@ -99,11 +108,11 @@ def ac2_counts(graph: KnowledgeGraph, rows: list, hops: dict[str, Chain], number
         wanted = list(dict.fromkeys((r["chain_key"], tuple(r["h"])) for r in rows if r["rule_type"] == "ac2" and r["side"] == side))
         if not wanted:
             continue
-        keys = list(dict.fromkeys(k for k, _ in wanted))
+        keys = {k: i for i, k in enumerate(dict.fromkeys(k for k, _ in wanted))}
         bound = stored(connected(graph, [hops[k] for k in keys], side), "bound")  # read for its size and for each head type
         sizes = bound.groupBy("chain").agg(F.count("*").alias("bound"))
         for head in dict.fromkeys(h for _, h in wanted):
-            mine = graph.spark.createDataFrame([(keys.index(k), number[k, h]) for k, h in wanted if h == head], "chain int, pair int")
+            mine = graph.spark.createDataFrame([(keys[k], number[k, h]) for k, h in wanted if h == head], "chain int, pair int")
             degree = graph.bag(head).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
             hits = bound.join(degree, "id").groupBy("chain").agg(F.sum("n").alias("hits"))
             free = graph.ids[head[other]].agg(F.count("*").alias("free")) if head[other] in graph.ids else graph.spark.range(1).select(F.lit(0).alias("free"))
@@ -122,19 +131,19 @@ def passing(metrics: DataFrame, config: RuleConfig) -> DataFrame:
     return metrics.filter((F.col("support") >= config.min_support) & (F.col("confidence") >= config.min_confidence) & (F.col("head_coverage") >= config.min_head_coverage))
 
 
-def evaluate_batch(graph: KnowledgeGraph, rules: DataFrame, config: RuleConfig, max_results: int | None = None, batch: int = 500) -> DataFrame:
+def evaluate_batch(graph: KnowledgeGraph, rules: DataFrame, config: RuleConfig, max_results: int | None = None, batch: int = 500, store: ReachStore | None = None) -> DataFrame:
     """The rules that pass, in their order; the first ``max_results`` if that is given.
 
-    Then rules are evaluated in batches in that order, and no more once enough have passed.
+    Then rules are evaluated in batches in that order, and no more once enough have passed; no chain's reach is computed twice, as
+    batches share a store.
     """
     if max_results is None:
-        return passing(evaluate(graph, rules), config)
-    rules = stored(rules, "rules")
-    numbered = rules.withColumn("place", F.row_number().over(Window.orderBy("ord")) - 1)  # rules are as many as a miner found
-    numbered, found, total = stored(numbered, "numbered-rules"), None, rules.count()
+        return passing(evaluate(graph, rules, store), config)
+    store, found = store or ReachStore(graph), None
+    numbered, total = ranked(rules, ["ord"], "numbered-rules", "place")
     for first in range(0, max(total, 1), batch):
         some = numbered.filter((F.col("place") >= first) & (F.col("place") < first + batch)).drop("place")
-        part = stored(passing(evaluate(graph, some), config), "passing")
+        part = stored(passing(evaluate(graph, some, store), config), "passing")
         found = part if found is None else found.unionByName(part)
         if found.count() >= max_results:
             break

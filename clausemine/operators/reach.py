@@ -4,6 +4,14 @@ Different chains are few (types to the power of the longest rule at most), so th
 become a trie. Hop by hop, the pairs of all chains meet the edges of one type, once for each type that any
 chain takes there: a plan has a join for each type and hop, however many chains there are. Pairs carry the
 number of their place in the trie and are made distinct after every hop, so a hub costs its pairs, not its paths.
+
+A chain's last hop makes no pairs. Ends are kept as words: 64 ids that differ in their last six bits share
+a row ``src, word`` whose ``bits`` say which of them are reached. Neighbours are packed in words before the join,
+words of one source are united by a bitwise or, and they are counted without being unpacked. A word never takes
+more rows than its pairs would; where ends lie close it takes up to 64 times fewer, in the join, the shuffle and the table.
+
+Nodes with very many neighbours would put all of their edges into one task of a sort-merge join. Where the edges
+of a type are too many to be broadcast, such nodes' edges are divided among slices and the pairs that stand there are sent to each.
 """
 
 from __future__ import annotations
@@ -11,12 +19,16 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.knowledge_graph import EdgeType, KnowledgeGraph
+from ..sources.storage import stored
 
 Chain = tuple[EdgeType, ...]
+WORD = ["chain", "src", "word", "bits"]
+#: A hub has at least this share of a type's edges, so there are at most this many of them.
+HUBS = 64
 
 
 def chains_of(rules: DataFrame) -> dict[str, Chain]:
@@ -35,20 +47,29 @@ def check_types(graph: KnowledgeGraph, chains) -> None:
 
 
 class Trie:
-    """Places of chains: ``moves[n][edge type]`` lists (place before, place after) of hop n + 1; ``ends[place]`` numbers the chains that end there."""
+    """Places of chains, made in one pass over them.
+
+    ``moves[n][edge type]`` lists the (place before, place after) of hop n + 1, ``ends[n]`` gives the numbers of the chains that end
+    at a place after that hop, ``inner`` are the places from which some chain goes on.
+    """
 
     def __init__(self, chains: list[Chain]):
-        places: dict[Chain, int] = {(): 0}
+        places: dict[tuple[int, EdgeType], int] = {}
         self.moves: list[dict[EdgeType, list[tuple[int, int]]]] = []
-        self.ends: list[tuple[int, int]] = []
+        self.ends: list[dict[int, list[int]]] = []
+        self.inner: set[int] = {0}
         for number, hops in enumerate(chains):
+            here = 0
             for n, edge_type in enumerate(hops):
                 if n == len(self.moves):
                     self.moves.append(defaultdict(list))
-                if hops[: n + 1] not in places:
-                    places[hops[: n + 1]] = len(places)
-                    self.moves[n][edge_type].append((places[hops[:n]], places[hops[: n + 1]]))
-            self.ends.append((places[hops], number))
+                    self.ends.append(defaultdict(list))
+                self.inner.add(here)
+                if (here, edge_type) not in places:
+                    places[here, edge_type] = len(places) + 1
+                    self.moves[n][edge_type].append((here, places[here, edge_type]))
+                here = places[here, edge_type]
+            self.ends[len(hops) - 1][here].append(number)
 
 
 def moved(state: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
@@ -59,7 +80,67 @@ def moved(state: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
     return state.join(table, "place").withColumn("place", F.col("after")).drop("after")
 
 
-def followed(graph: KnowledgeGraph, chains: list[Chain], carry: bool, back: bool = False, seed: int | None = None, distinct_each_hop: bool = True) -> DataFrame:
+def ended(state: DataFrame, ends: dict[int, list[int]]) -> DataFrame:
+    """The rows at the ends of chains, a row for each of these chains."""
+    return moved(state, [(place, number) for place, numbers in ends.items() for number in numbers]).withColumnRenamed("place", "chain")
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the size lets it broadcast this."""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def met(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` joined with ``edges(from, ...)`` on at = from; hubs are divided among slices unless the edges are small."""
+    if broadcastable(edges):
+        return state.join(edges, F.col("at") == F.col("from"))
+    degrees = edges.groupBy("from").agg(F.count("*").alias("degree"))
+    degrees = degrees.join(F.broadcast(edges.agg((F.count("*") / HUBS).alias("share"))), F.col("degree") > F.col("share"))  # fewer than HUBS rows
+    hubs = F.broadcast(degrees.select(F.col("from").alias("hub"), F.ceil(F.col("degree") / F.col("share")).cast("int").alias("slices")))
+    far = [c for c in edges.columns if c != "from"]
+    divided = edges.join(hubs, F.col("from") == F.col("hub"), "left").withColumn("slice", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64(*far), F.col("slices"))).cast("int")).drop("hub", "slices")
+    spread = state.join(hubs, F.col("at") == F.col("hub"), "left").withColumn("to_slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("hub", "slices")
+    return spread.join(divided, (F.col("at") == F.col("from")) & (F.col("to_slice") == F.col("slice"))).drop("slice", "to_slice")
+
+
+def bit(node: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({node} & 63 as int))")
+
+
+def packed(edges: DataFrame, near: str, far: str) -> DataFrame:
+    """``from, word, bits``: the neighbours of each node in words."""
+    return edges.groupBy(F.col(near).alias("from"), F.shiftright(far, 6).alias("word")).agg(F.bit_or(bit(far)).alias("bits"))
+
+
+def unpacked(words: DataFrame, bits: str = "bits", to: str = "dst") -> DataFrame:
+    """The words' other columns with a row for each id that is in ``bits``."""
+    ids = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col(bits), i.cast("int")) == 1)
+    return words.withColumn(to, F.explode(F.transform(ids, lambda i: F.shiftleft("word", 6) + i))).drop("word", bits)
+
+
+def hop(graph: KnowledgeGraph, edge_type: EdgeType, near: str, far: str) -> DataFrame:
+    return graph.linked(edge_type).select(F.col(near).alias("from"), F.col(far).alias("to"))
+
+
+def steps(graph: KnowledgeGraph, trie: Trie, n: int, state: DataFrame | None, near: str, far: str, columns: list[str], seed: int | None, wanted: set[int]) -> DataFrame | None:
+    """The distinct rows after hop n + 1 at the places in ``wanted``."""
+    parts = []
+    for edge_type, moves in trie.moves[n].items():
+        moves = [m for m in moves if m[1] in wanted]
+        if not moves:
+            continue
+        edges = hop(graph, edge_type, near, far)
+        if n == 0:
+            some = edges if seed is None else edges.filter(F.col("from") == seed)
+            parts.append(some.select(F.lit(moves[0][1]).alias("place"), F.col("to").alias("at"), F.col("from").alias("start")).select(*columns))
+        else:
+            parts.append(met(moved(state, moves), edges).withColumn("at", F.col("to")).select(*columns))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+
+
+def followed(graph: KnowledgeGraph, chains: list[Chain], carry: bool, back: bool = False, seed: int | None = None) -> DataFrame:
     """``chain, at`` and, with ``carry``, ``start``: nodes at the ends of chains and where they came from.
 
     ``back`` walks edges from dst to src. ``seed`` starts from one node. Without ``carry`` a hop is a semi-join in
@@ -68,34 +149,45 @@ def followed(graph: KnowledgeGraph, chains: list[Chain], carry: bool, back: bool
     near, far = ("dst", "src") if back else ("src", "dst")
     trie, columns = Trie(chains), ["place", "at", *(["start"] if carry else [])]
     state, found = None, []
-    for n, by_type in enumerate(trie.moves):
+    for n, ends in enumerate(trie.ends):
+        state = steps(graph, trie, n, state, near, far, columns, seed, trie.inner | set(ends))
+        if ends:
+            found.append(ended(state, ends))
+    return reduce(DataFrame.unionByName, found)
+
+
+def words(graph: KnowledgeGraph, chains: list[Chain]) -> DataFrame:
+    """``chain, src, word, bits``: what each chain reaches, a row for each source and word; ``chain`` is the place in the list."""
+    check_types(graph, chains)
+    if not chains:
+        return graph.spark.createDataFrame([], "chain int, src long, word long, bits long")
+    trie, state, found = Trie(chains), None, []
+    for n, ends in enumerate(trie.ends):
         parts = []
-        for edge_type, moves in by_type.items():
-            edges = graph.bag(edge_type) if n or not carry else graph.linked(edge_type)
-            edges = edges.select(F.col(near).alias("from"), F.col(far).alias("to"))
-            if n == 0:
-                some = edges if seed is None else edges.filter(F.col("from") == seed)
-                parts.append(some.select(F.lit(moves[0][1]).alias("place"), F.col("to").alias("at"), F.col("from").alias("start")).select(*columns))
-            else:
-                step = moved(state, moves).join(edges.distinct(), F.col("at") == F.col("from")).withColumn("at", F.col("to"))
-                parts.append(step.select(*columns))
-        state = reduce(DataFrame.unionByName, parts)
-        if distinct_each_hop and (n or not carry):
-            state = state.distinct()
-        ended = [(place, number) for place, number in trie.ends if any(place == after for moves in by_type.values() for _, after in moves)]
-        if ended:
-            found.append(moved(state, ended).withColumnRenamed("place", "chain"))
-    out = reduce(DataFrame.unionByName, found)
-    return out if distinct_each_hop else out.distinct()
-
-
-def reach(graph: KnowledgeGraph, chains: list[Chain], src: int | None = None, dst: int | None = None, distinct_each_hop: bool = True) -> DataFrame:
+        for edge_type, moves in trie.moves[n].items():
+            moves = [m for m in moves if m[1] in ends]
+            if moves:
+                near = packed(graph.bag(edge_type), "src", "dst")
+                if n == 0:
+                    parts.append(near.select(F.lit(moves[0][1]).alias("place"), F.col("from").alias("start"), "word", "bits"))
+                else:
+                    parts.append(met(moved(state, moves), near).select("place", "start", "word", "bits"))
+        if parts:
+            united = reduce(DataFrame.unionByName, parts)
+            if n:
+                united = united.groupBy("place", "start", "word").agg(F.bit_or("bits").alias("bits"))
+            found.append(ended(united, ends))
+        state = steps(graph, trie, n, state, "src", "dst", ["place", "at", "start"], None, trie.inner)
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("start", "src").select(*WORD)
+
+
+def reach(graph: KnowledgeGraph, chains: list[Chain], src: int | None = None, dst: int | None = None) -> DataFrame:
     """``chain, src, dst``, distinct; ``chain`` is the place in the list. From one ``src`` or to one ``dst`` alone if asked."""
+    if src is None and dst is None or not chains:
+        return unpacked(words(graph, chains)).select("chain", "src", "dst")
     check_types(graph, chains)
-    if not chains:
-        return graph.spark.createDataFrame([], "chain int, src long, dst long")
     back = dst is not None
-    pairs = followed(graph, [c[::-1] for c in chains] if back else chains, True, back, dst if back else src, distinct_each_hop)
+    pairs = followed(graph, [c[::-1] for c in chains] if back else chains, True, back, dst if back else src)
     a, b = ("at", "start") if back else ("start", "at")
     pairs = pairs.select("chain", F.col(a).alias("src"), F.col(b).alias("dst"))
     return pairs.filter(F.col("src") == src) if back and src is not None else pairs
@@ -108,3 +200,27 @@ def connected(graph: KnowledgeGraph, chains: list[Chain], side: str = "src") ->
         return graph.spark.createDataFrame([], "chain int, id long")
     back = side == "src"
     return followed(graph, [c[::-1] for c in chains] if back else chains, False, back).select("chain", F.col("at").alias("id"))
+
+
+class ReachStore:
+    """The reach of a graph's chains, each computed once and written, for all that asks for it later."""
+
+    def __init__(self, graph: KnowledgeGraph):
+        self.graph = graph
+        self.table_of: dict[Chain, tuple[int, int]] = {}  # (table, number in it)
+        self.tables: list[DataFrame] = []
+
+    def words(self, chains: list[Chain]) -> DataFrame:
+        """As ``words`` of these chains, which must differ; those not asked for before are computed together."""
+        new = [c for c in chains if c not in self.table_of]
+        if new:
+            self.table_of |= {c: (len(self.tables), i) for i, c in enumerate(new)}
+            self.tables.append(stored(words(self.graph, new), "reach"))
+        asked: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, c in enumerate(chains):
+            table, number = self.table_of[c]
+            asked[table].append((number, i))
+        if not asked:
+            return words(self.graph, [])
+        parts = [moved(self.tables[t].withColumnRenamed("chain", "place"), moves).withColumnRenamed("place", "chain").select(*WORD) for t, moves in asked.items()]
+        return reduce(DataFrame.unionByName, parts)

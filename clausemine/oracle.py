@@ -162,8 +162,16 @@ rules AS (
 SELECT *, head || ' :- ' || array_to_string(body, ', ') AS rule, list_contains(body, head) AS tautological,
   CASE WHEN variant > 0 THEN 'ac1' WHEN list_contains(v, 'X') AND list_contains(v, 'Y') THEN 'cyclic' ELSE 'ac2' END AS rule_type
 FROM ruled)"""
-TRIPLES, HOPS, ATTEMPTS = 60, 3, 8
-FROM_PATHS = f"{GRAPH}, {sample(TRIPLES, 5, None, TARGET)}, {walks(HOPS, 1, None)}, {GENERAL}"
+HOPS, ATTEMPTS = 3, 8
+#: Every link as a triple.
+LINKS = f"triples AS MATERIALIZED (SELECT row_number() OVER () AS draw_id, src AS head_id, dst AS tail_id, src_type AS head_type, dst_type AS tail_type, relation FROM set_edges WHERE {TARGET})"
+FROM_PATHS = f"{GRAPH}, {LINKS}, {walks(HOPS, 1, None)}, {GENERAL}"
+
+
+def summed(text: str) -> str:
+    return f"count(*) AS n, sum({draw(text)}::HUGEINT)::VARCHAR AS checksum"
+
+
 TRIPLE_COLUMNS = "draw_id, head_id, tail_id, head_type, tail_type, relation"
 
 
@@ -256,10 +264,10 @@ SQL = {
     "sample_relation_proportional": f"{GRAPH}, {sample(1000, 3, '1.0::DOUBLE')} SELECT {TRIPLE_COLUMNS} FROM triples",
     "sample_relation_inverse": f"{GRAPH}, {sample(1000, 3, '1.0::DOUBLE / edge_count')} SELECT {TRIPLE_COLUMNS} FROM triples",
     "sample_target_type": f"{GRAPH}, {sample(1000, 3, None, TARGET)} SELECT {TRIPLE_COLUMNS} FROM triples",
-    "walk_enumerate_paths": f"{GRAPH}, {sample(TRIPLES, 5, None, TARGET)}, {walks(HOPS, 1, None)} SELECT draw_id, {SHOWN_PATH} AS path FROM paths",
+    "walk_enumerate_paths": f"{GRAPH}, {LINKS}, {walks(HOPS, 1, None)} SELECT head_id, tail_id, {summed(SHOWN_PATH)} FROM paths JOIN triples USING (draw_id) GROUP BY head_id, tail_id",
     "walk_uniform": f"{GRAPH}, {sample(1000, 5, None, TARGET)}, {walks(HOPS, 2, 'uniform', ATTEMPTS)} SELECT draw_id, attempt::INT AS attempt, {SHOWN_PATH} AS path FROM paths",
     "walk_relation_weighted": f"{GRAPH}, {sample(1000, 5, None, TARGET)}, {walks(HOPS, 2, 'relation_weighted', ATTEMPTS)} SELECT draw_id, attempt::INT AS attempt, {SHOWN_PATH} AS path FROM paths",
-    "generalize_rules": f"{FROM_PATHS} SELECT draw_id, {SHOWN_PATH} AS path, variant, rule FROM rules WHERE NOT tautological",
+    "generalize_rules": f"{FROM_PATHS} SELECT head_id, tail_id, variant, {summed('rule')} FROM rules JOIN triples USING (draw_id) WHERE NOT tautological GROUP BY head_id, tail_id, variant",
     "classify_rules": f"{FROM_PATHS} SELECT DISTINCT rule, rule_type FROM rules",
     "tautology_filter": f"{FROM_PATHS} SELECT DISTINCT rule, tautological FROM rules",
     "rule_strings": f"{FROM_PATHS} SELECT DISTINCT rule, len(body)::INT AS length FROM rules",
@@ -268,5 +276,5 @@ SQL = {
     "pipeline_fit": f"{GRAPH}{FITTED} SELECT rule, rule_type, support, round(confidence, 9) AS confidence, round(head_coverage, 9) AS head_coverage, num_predictions FROM learned",
     "pipeline_predict": f"{GRAPH}{FITTED} SELECT head_id, tail_id, score FROM scored ANTI JOIN (SELECT DISTINCT src, dst FROM {of_type(BOUGHT_FROM)}) k ON head_id = k.src AND tail_id = k.dst WHERE score > 0",
     "pipeline_evaluate": link_metrics(True, f"{TRAIN_GRAPH}{FITTED}{HELD}"),
-    "dedup_rules": f"{FROM_PATHS} SELECT rule, min(draw_id) AS first_draw FROM rules WHERE NOT tautological GROUP BY rule",
+    "dedup_rules": f"{FROM_PATHS}, firsts AS (SELECT rule, min({{'h': head_id, 't': tail_id}}) AS f FROM rules JOIN triples USING (draw_id) WHERE NOT tautological GROUP BY rule) SELECT rule, f.h AS first_head, f.t AS first_tail FROM firsts",
 }

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from .config import EvaluationConfig, MinerConfig, RuleConfig, SamplerConfig, SamplingStrategy, WalkConfig, WalkStrategy
 from .functions import rule_columns as R
-from .operators.generalize import distinct_rules, generalize
+from .functions.portable_random import draw
+from .operators.generalize import distinct_rules, ruled, shaped, with_variants
 from .operators.metrics import METRICS, evaluate, evaluate_batch, top_rules
 from .operators.predict import chain_groups, ordered, predict, score_heads, score_tails, scores
 from .operators.ranking import link_metrics, ranks
-from .operators.reach import chains_of, reach
+from .operators.reach import ReachStore, chains_of, reach
 from .operators.sampling import sample_triples
 from .operators.walks import enumerate_paths, random_walks
-from .oracle import ATTEMPTS, HOPS, MINER_ATTEMPTS, SQL, TRIPLES
+from .oracle import ATTEMPTS, HOPS, MINER_ATTEMPTS, SQL
 from .plans.rule_miner import RuleMiner
 from .rules import Atom, Rule, RuleType, Term, rules_frame
 from .sources import knowledge_graph as kg
@@ -78,10 +79,10 @@ def batch(graph: kg.KnowledgeGraph, config: RuleConfig, most: int | None = None)
     return measured(evaluate_batch(graph, rules_frame(graph.spark, BATCH), config, most), "ord")
 
 
-def learned(graph: kg.KnowledgeGraph) -> DataFrame:
+def learned(graph: kg.KnowledgeGraph, store: ReachStore | None = None) -> DataFrame:
     """The nation rule whole and with each supplier as its constant, with metrics."""
     rules = rules_frame(graph.spark, [NATION_RULE])
-    return stored(evaluate(graph, rules.unionByName(grounded(graph, NATION_RULE, "object"))), "learned")
+    return stored(evaluate(graph, rules.unionByName(grounded(graph, NATION_RULE, "object")), store), "learned")
 
 
 def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
@@ -94,7 +95,8 @@ def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
 
 def all_ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
     graph, tests = split(spark, d)
-    scored = stored(rounded(scores(graph, learned(graph)), "score"), "scores")  # equal scores stay ties however they were multiplied
+    store = ReachStore(graph)
+    scored = stored(rounded(scores(graph, learned(graph, store), store=store), "score"), "scores")  # equal scores stay ties however they were multiplied
     return ranks(graph, scored, tests, kg.BOUGHT_FROM, filtered).drop("test_id")
 
 
@@ -104,12 +106,14 @@ def mrr_hits(filtered: bool):
 
 def scored(spark: SparkSession, d: str, **options) -> DataFrame:
     graph = kg.trade_graph(spark, d)
-    return rounded(predict(graph, learned(graph), **options), "score")
+    store = ReachStore(graph)
+    return rounded(predict(graph, learned(graph, store), store=store, **options), "score")
 
 
 def filtered_predictions(spark: SparkSession, d: str) -> DataFrame:
     graph, _ = split(spark, d)
-    return rounded(predict(graph, learned(graph), filter_known=True), "score").select("head_id", "tail_id", "score")
+    store = ReachStore(graph)
+    return rounded(predict(graph, learned(graph, store), filter_known=True, store=store), "score").select("head_id", "tail_id", "score")
 
 
 def sampled(strategy: SamplingStrategy, target=None):
@@ -121,10 +125,17 @@ def shown_path() -> Column:
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
-    """All paths of up to HOPS steps between the ends of sampled triples, with their triples."""
+    """All paths of up to HOPS steps between the ends of every link, with their links."""
     graph = kg.trade_graph(spark, d)
-    triples = stored(sample_triples(graph, SamplerConfig(TRIPLES, SamplingStrategy.UNIFORM, 5, kg.BOUGHT_FROM)), "triples")
-    return enumerate_paths(graph, triples, 1, HOPS).join(triples.select("draw_id", "relation", "head_type", "tail_type"), "draw_id")
+    ends = {"head_type": F.lit("customer"), "tail_type": F.lit("supplier"), "relation": F.lit("bought_from")}
+    links = graph.linked(kg.BOUGHT_FROM).toDF("head_id", "tail_id").withColumns({"draw_id": F.struct("head_id", "tail_id"), **ends})
+    found = enumerate_paths(graph, links, 1, HOPS)
+    return found.select("draw_id.head_id", "draw_id.tail_id", "path").withColumns(ends)
+
+
+def summed(text: Column) -> list[Column]:
+    """How many texts there are and a sum of numbers drawn from them, which tells one bag of texts from another in any order."""
+    return [F.count("*").alias("n"), F.sum(draw(text).cast("decimal(38,0)")).cast("string").alias("checksum")]
 
 
 def walked(strategy: WalkStrategy):
@@ -140,12 +151,20 @@ def walked(strategy: WalkStrategy):
 def shown(*columns):
     """Distinct rules of all paths, tautologies too, with columns made of head and body."""
     rule = R.shown_rule(F.col("head"), F.col("body")).alias("rule")
-    return lambda spark, d: generalize(paths(spark, d), drop_tautologies=False).select(rule, *columns).distinct()
+    return lambda spark, d: distinct_rules(paths(spark, d), ["variant"], drop_tautologies=False).select(rule, *columns)
 
 
 def dedup(spark: SparkSession, d: str) -> DataFrame:
-    rules = distinct_rules(generalize(paths(spark, d)), ["draw_id", "variant"])
-    return rules.select(R.shown_rule(F.col("head"), F.col("body")).alias("rule"), F.col("ord.draw_id").alias("first_draw"))
+    rules = distinct_rules(paths(spark, d), ["head_id", "tail_id", "variant"])
+    return rules.select(R.shown_rule(F.col("head"), F.col("body")).alias("rule"), F.col("ord.head_id").alias("first_head"), F.col("ord.tail_id").alias("first_tail"))
+
+
+def generalized(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of each link's paths; equal shapes between the same ends give equal rules, which are made once and counted."""
+    ends = ["head_id", "tail_id", "head_entity", "tail_entity", "relation", "head_type", "tail_type", "shape"]
+    alike = shaped(paths(spark, d)).groupBy(*ends).agg(F.count("*").alias("times"))
+    rules = ruled(with_variants(alike)).select("head_id", "tail_id", "variant", "times", draw(R.shown_rule(F.col("head"), F.col("body"))).alias("drawn"))
+    return rules.groupBy("head_id", "tail_id", "variant").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("drawn").cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("checksum"))
 
 
 def named_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -219,10 +238,10 @@ QUERIES = {
     "sample_relation_proportional": sampled(SamplingStrategy.RELATION_PROPORTIONAL),
     "sample_relation_inverse": sampled(SamplingStrategy.RELATION_INVERSE),
     "sample_target_type": sampled(SamplingStrategy.UNIFORM, kg.BOUGHT_FROM),
-    "walk_enumerate_paths": lambda spark, d: paths(spark, d).select("draw_id", shown_path()),
+    "walk_enumerate_paths": lambda spark, d: paths(spark, d).select("head_id", "tail_id", shown_path()).groupBy("head_id", "tail_id").agg(*summed(F.col("path"))),
     "walk_uniform": walked(WalkStrategy.UNIFORM),
     "walk_relation_weighted": walked(WalkStrategy.RELATION_WEIGHTED),
-    "generalize_rules": lambda spark, d: generalize(paths(spark, d)).select("draw_id", shown_path(), "variant", R.shown_rule(F.col("head"), F.col("body")).alias("rule")),
+    "generalize_rules": generalized,
     "classify_rules": lambda spark, d: shown("rule_type")(spark, d),
     "tautology_filter": lambda spark, d: shown(R.tautological(F.col("head"), F.col("body")).alias("tautological"))(spark, d),
     "rule_strings": lambda spark, d: shown(F.size("body").alias("length"))(spark, d),

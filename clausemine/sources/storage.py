@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +32,19 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def in_order(files) -> list[str]:
+    """Files of a table by the tasks that wrote them."""
+    return sorted(files, key=lambda f: [int(n) for n in re.search(r"part-(\d+)-.*-c(\d+)\.", f).groups()])
+
+
+def ranked(df: DataFrame, order: list, name: str, rank: str) -> tuple[DataFrame, int]:
+    """(the rows with their ``rank`` from 0 in this order, their number): dealt by range, sorted and written, numbered by file and row."""
+    table = stored(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+    rows = {r["file"]: r["n"] for r in table.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+    files = in_order(rows)
+    bases = list(zip(files, [0, *accumulate(rows[f] for f in files)], strict=False))
+    bases = F.broadcast(df.sparkSession.createDataFrame(bases, "_file string, _base long"))
+    placed = table.select(*df.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(bases, "_file")
+    return placed.select(*df.columns, (F.col("_base") + F.col("_row")).alias(rank)), sum(rows.values())
