@@ -218,8 +218,8 @@ ids AS (SELECT node_type, name, dense_rank() OVER (PARTITION BY node_type ORDER
 SELECT DISTINCT n.src_type, n.relation, n.dst_type, a.id AS src, b.id AS dst FROM named n JOIN ids a ON a.node_type = n.src_type AND a.name = n.src_name JOIN ids b ON b.node_type = n.dst_type AND b.name = n.dst_name"""
 
 
-def synthetic(nodes: int, degree: int, seed: int) -> str:
-    parts = [f"SELECT '{r}' AS relation, {draw(f"'{seed}'", f"'{r}'", "'src'", "range::VARCHAR")} % {nodes} AS src, {draw(f"'{seed}'", f"'{r}'", "'dst'", "range::VARCHAR")} % {nodes} AS dst FROM range({nodes * degree})" for r in ("r_ab", "r_bc", "r_ba", "r_ac")]
+def synthetic(nodes: str, degree: int, seed: int) -> str:
+    parts = [f"SELECT '{r}' AS relation, {draw(f"'{seed}'", f"'{r}'", "'src'", "range::VARCHAR")} % {nodes} AS src, {draw(f"'{seed}'", f"'{r}'", "'dst'", "range::VARCHAR")} % {nodes} AS dst FROM range({nodes} * {degree})" for r in ("r_ab", "r_bc", "r_ba", "r_ac")]
     return f"SELECT relation, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum, count(DISTINCT (src, dst)) AS pairs FROM ({' UNION ALL '.join(parts)}) GROUP BY relation"
 
 
@@ -227,7 +227,7 @@ SQL = {
     "kg_node_counts": f"{GRAPH} SELECT node_type, count(*) AS node_count FROM nodes GROUP BY 1",
     "kg_edge_counts": f"{GRAPH} SELECT src_type, relation, dst_type, edge_count FROM types",
     "kg_total_edges": f"{GRAPH} SELECT count(*) AS total_edges FROM edges",
-    "kg_catalog": f"{GRAPH} SELECT DISTINCT src_type, relation, dst_type, ordinal::INT AS ordinal FROM edges",
+    "kg_catalog": f"{GRAPH} SELECT src_type, relation, dst_type, ordinal::INT AS ordinal, edge_count = 0 AS empty FROM types",
     "kg_outgoing_types": f"{GRAPH} SELECT src_type, relation, dst_type, (row_number() OVER (PARTITION BY src_type ORDER BY ordinal) - 1)::INT AS type_idx, count(*) OVER (PARTITION BY src_type) AS n_types FROM types",
     "kg_neighbors": f"{GRAPH} SELECT DISTINCT dst FROM {of_type(('nation', 'rev_in_nation', 'customer'))} WHERE src = 7",
     "kg_edge_bag": f"{GRAPH} SELECT src, dst, count(*) AS copies FROM {of_type(BOUGHT_FROM)} GROUP BY ALL",
@@ -235,7 +235,7 @@ SQL = {
     "kg_dangling": f"{GRAPH} SELECT src_type, relation, dst_type, src, dst FROM edges WHERE (src_type, src) NOT IN (SELECT (node_type, id) FROM nodes) OR (dst_type, dst) NOT IN (SELECT (node_type, id) FROM nodes)",
     "kg_named_ids": named_ids(),
     "kg_activity_edges": "SELECT 'did_' || event_type AS relation, count(*) AS edge_count, count(DISTINCT (user_id, hour(ts))) AS pairs FROM events GROUP BY event_type",
-    "kg_synthetic": synthetic(500, 10, 0),
+    "kg_synthetic": synthetic("(SELECT count(*) FROM customer)", 10, 0),
     "chain_reach_2hop": f"{GRAPH} SELECT src, dst FROM {reach(PART)}",
     "chain_reach_3hop": f"{GRAPH} SELECT src, dst FROM {reach(PEERS)}",
     "metrics_cyclic": f"{GRAPH} {cyclic(NATION)}",

@@ -201,7 +201,7 @@ QUERIES = {
     "kg_node_counts": graph_query(lambda g: g.node_counts()),
     "kg_edge_counts": graph_query(lambda g: g.edge_counts().drop("ordinal")),
     "kg_total_edges": graph_query(lambda g: g.total_edges()),
-    "kg_catalog": graph_query(lambda g: g.catalog),
+    "kg_catalog": graph_query(lambda g: g.edge_counts().withColumn("empty", F.col("edge_count") == 0).drop("edge_count")),
     "kg_outgoing_types": graph_query(lambda g: g.outgoing_types().drop("ordinal", "edge_count")),
     "kg_neighbors": graph_query(lambda g: g.neighbors(7, kg.NATION_CUSTOMER)),
     "kg_edge_bag": graph_query(lambda g: g.bag(kg.BOUGHT_FROM).groupBy("src", "dst").agg(F.count("*").alias("copies"))),
@@ -209,7 +209,7 @@ QUERIES = {
     "kg_dangling": graph_query(lambda g: g.dangling()),
     "kg_named_ids": named_graph,
     "kg_activity_edges": lambda spark, d: kg.activity_graph(spark, d).edges.groupBy("relation").agg(F.count("*").alias("edge_count"), F.count_distinct("src", "dst").alias("pairs")),
-    "kg_synthetic": lambda spark, d: kg.synthetic_graph(spark, 500).edges.groupBy("relation").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.count_distinct("src", "dst").alias("pairs")),
+    "kg_synthetic": lambda spark, d: kg.synthetic_graph(spark, nodes_per_type=spark.read.parquet(f"{d}/customer.parquet").count()).edges.groupBy("relation").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.count_distinct("src", "dst").alias("pairs")),
     "chain_reach_2hop": graph_query(lambda g: reach(g, list(chains_of(rules_frame(g.spark, [PART_RULE])).values())).drop("chain")),
     "chain_reach_3hop": graph_query(lambda g: reach(g, list(chains_of(rules_frame(g.spark, [PEER_RULE])).values())).drop("chain")),
     "metrics_cyclic": of_rules(NATION_RULE),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from .functions.rule_columns import RULE_SCHEMA, with_keys
 
 
+# Members of the enumerations, names of classes and fields, and how rules are shown are the public interface: fixed values.
 class RuleType(StrEnum):
     CYCLIC = "cyclic"
     AC1 = "ac1"
