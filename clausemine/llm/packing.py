@@ -6,7 +6,8 @@ length covered" is solved by multiplicative weights: the weight of a length is i
 exponential of how far it is behind in coverage, and its price a piece is weight over need. A round finds what every room can
 earn by knapsack dynamic programming, and gives shares to configurations within ``SLACK`` of the most
 valuable one, each as far as no length gets more than the round's part. Prices over the best value
-are a dual solution, so every round also gives a lower bound (``relax`` returns the best).
+are a dual solution, so every round also gives a lower bound, and so does the price of one over how many such pieces a sequence
+holds, which is exact where all are long (``relax`` returns the best).
 
 Shares are rounded: largest first, down, but at least one sequence, as long as the pieces last. What is left is
 a smaller program and is solved again until ``BY_PROGRAM`` of the tokens are placed. The rest, still a mix
@@ -91,10 +92,16 @@ def configuration(n: int, slack: float, price: np.ndarray, best: np.ndarray, off
     return found
 
 
+def dual(need: np.ndarray, offered: np.ndarray, price: np.ndarray) -> float:
+    """The lower bound that prices give: what all pieces cost over the most that one sequence can hold."""
+    return float(need @ price) / knapsack(price, offered, len(need) - 1)[-1] if len(offered) else 0.0
+
+
 def relax(need: np.ndarray, rounds: int = ROUNDS, sharp: float = SHARP, slack: float = SLACK) -> tuple[dict[tuple, float], float]:
     """(share of each configuration, lower bound on the number of sequences) of the linear program."""
-    size, load, shares, bound = len(need) - 1, np.zeros(len(need)), {}, 0.0
+    size, load, shares = len(need) - 1, np.zeros(len(need)), {}
     offered = np.flatnonzero(need)[::-1].copy()
+    bound = dual(need, offered, np.where(need > 0, 1.0 / (size // np.maximum(np.arange(size + 1), 1)), 0.0))
     for r in range(1, rounds + 1):
         price = np.where(need > 0, np.arange(size + 1) * np.exp(sharp * ((r - 1) / rounds - load)), 0.0)  # weight over need
         best = knapsack(price, offered, size)
@@ -141,8 +148,20 @@ def fullest(left: np.ndarray, reach: np.ndarray) -> tuple[Counter, int]:
     return found, room
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, by_program: float = BY_PROGRAM) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """(configurations with the number of sequences that each fills, how many of these entries come from the program); every piece is placed exactly once."""
+Plan = list[tuple[dict[int, int], int]]
+
+
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, by_program: float = BY_PROGRAM) -> tuple[Plan, int]:
+    """(configurations with the number of sequences that each fills, how many of these entries come from the program); every piece is placed exactly once.
+
+    Rounding may cost a program more than it gains on lengths of which few share a sequence: if best fit alone needs fewer sequences, its plan is taken.
+    """
+    plans = [rounded(histogram, size, rounds, share) for share in dict.fromkeys((by_program, 0.0))]
+    return min(plans, key=lambda p: sum(c for _, c in p[0]))
+
+
+def rounded(histogram: dict[int, int], size: int, rounds: int, by_program: float) -> tuple[Plan, int]:
+    """As ``solve``, with this share of the tokens placed by the program."""
     left, lengths, plan = np.zeros(size + 1, np.int64), np.arange(size + 1), []
     for n, c in histogram.items():
         left[n] = c
