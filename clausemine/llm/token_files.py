@@ -9,7 +9,8 @@ of doc_ids) and by place in it; a document's place among all ids is its place in
 select gives, plus the ids of the blocks before.
 
 Texts are dealt by range of doc_id, so that one Python pass encodes a shard and writes it. Shards are
-about ``shard_bytes`` of text each; a shard is streamed, so its size does not bound memory.
+about ``shard_bytes`` of text each, by default a 2,048th of all text but at least 16 MB and at most 512 MB, so that 100 TB are
+200,000 shards; a shard is streamed, so its size does not bound memory.
 
 Defined results: null or empty text gives no ids but the end id; null doc_ids come first; rows with
 equal doc_id follow each other, ordered by a hash of their texts, and may spread over shards, so that a
@@ -33,7 +34,7 @@ from .shared import shared_dir, table, texts
 from .tokens import encoder, in_slices
 
 SAMPLE = 64
-BLOCK_IDS, SHARD_BYTES = 1 << 20, 16 << 20
+BLOCK_IDS, SHARD_BYTES, SHARDS = 1 << 20, (16 << 20, 512 << 20), 2048
 CODE = "low_bits int, low binary, high binary, selects binary"
 BLOCK_SCHEMA = "shard int, ids_before long, n_docs int, n_ids long, ids binary, " + CODE + ", n_null int, first_doc long, doc_low_bits int, doc_low binary, doc_high binary, doc_selects binary"
 
@@ -80,10 +81,11 @@ class EliasFano:
         return word >> (first & 7) & ((1 << self.low_bits) - 1)
 
 
-def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+def sharded(docs: DataFrame, shard_bytes: int | None) -> DataFrame:
     """``doc_id, text`` dealt by range and sorted; a hash of the text and the row's number divide a doc_id of many rows."""
     rows = texts(docs).withColumns({"print": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_bytes = shard_bytes or min(max(size // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1])
     order = ["doc_id", "print", "row"]
     return rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
@@ -122,11 +124,24 @@ def _blocks(path: str, end_id: int, width: int, block_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, width: int = 2, block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, width: int = 2, block_ids: int = BLOCK_IDS, shard_bytes: int | None = None) -> None:
     """Encode all texts and write them in ascending doc_id order as a file set at ``target``."""
     sharded(docs, shard_bytes).mapInArrow(_blocks(path, end_id, width, block_ids), BLOCK_SCHEMA).write.parquet(target)
 
 
+def bases(shards: DataFrame, group: int = 1024) -> DataFrame:
+    """``shard, base`` from ``shard, n``: the ids before each shard, summed in groups of shards first, so that no window holds all of them."""
+    grouped = shards.withColumn("group", F.floor(F.col("shard") / group))
+    ahead = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(F.floor(F.col("group") / group)).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    whole = grouped.groupBy("group").agg(F.sum("n").alias("n"))
+    before = whole.select("group", F.floor(F.col("group") / group).alias("top"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("in_top"))
+    tops = whole.groupBy(F.floor(F.col("group") / group).alias("top")).agg(F.sum("n").alias("n"))
+    first = tops.alias("a").join(F.broadcast(tops.alias("b")), F.col("b.top") < F.col("a.top"), "left").groupBy("a.top").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("of_top"))  # a row for each million shards
+    placed = grouped.join(before.join(first, "top"), "group")
+    return placed.select("shard", (F.col("of_top") + F.col("in_top") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("base"))
+
+
 def read_token_files(spark: SparkSession, target: str, width: int = 2, digest: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from a file set; ids are the document's bytes as stored.
 
@@ -135,8 +150,7 @@ def read_token_files(spark: SparkSession, target: str, width: int = 2, digest: b
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(target)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))  # 12 bytes for each shard of text
+    shards = bases(shards)  # 12 bytes for each shard of text
     last = pa.int64() if digest else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from clausemine.llm.chunk_bpe import chunk_encoder, cut_points, decode_documents, encode_documents, round_trip_digests
 from clausemine.llm.packing import pack, relax, solve
-from clausemine.llm.token_files import EliasFano, read_token_files, write_token_files
+from clausemine.llm.token_files import EliasFano, bases, read_token_files, write_token_files
 from clausemine.llm.tokens import WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -225,3 +225,35 @@ def test_lengths_that_do_not_fill_a_sequence():
     assert placed(plan, 2048) == {1500: 7, 700: 3}
     assert sum(c for _, c in plan) == 7 + 2
     assert solve({}, 2048)[0] == []
+
+
+@pytest.mark.parametrize(("low", "high", "per_sequence"), [(690, 1000, 2), (1025, 1500, 1), (500, 900, None)])
+def test_lengths_of_which_few_fit_together(low, high, per_sequence):
+    """The bound is what must be used where lengths alone decide, and the program never loses to best fit."""
+    rng = random.Random(low)
+    need = Counter(rng.randint(low, high) for _ in range(4000))
+    plan, _ = solve(dict(need))
+    assert placed(plan, 2048) == need
+    used = sum(c for _, c in plan)
+    assert used <= sum(c for _, c in solve(dict(need), by_program=0)[0])
+    if per_sequence:
+        weight = np.zeros(2049, np.int64)
+        for k, c in need.items():
+            weight[k] = c
+        assert relax(weight)[1] == pytest.approx(4000 / per_sequence) and used == 4000 // per_sequence
+
+
+@pytest.mark.parametrize("group", [1024, 7])
+def test_bases_of_many_shards_need_no_window_over_all(spark, group):
+    from pyspark.sql import functions as F
+
+    shards = spark.range(10_000).select(F.col("id").cast("int").alias("shard"), (F.col("id") % 13).alias("n"))
+    found = bases(shards.repartition(5), group)
+    got = {r.shard: r.base for r in found.collect()}
+    at = 0
+    for i in range(10_000):
+        assert got[i] == at
+        at += i % 13
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" in plan and "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("Window")[0]
+    assert bases(shards.limit(0)).count() == 0
