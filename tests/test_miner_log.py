@@ -1,0 +1,26 @@
+"""What a fit tells while it runs, and rules that predict nothing."""
+
+import logging
+
+import clausemine as cm
+
+LIVES, BORN, NEAR = ("person", "lives_in", "city"), ("person", "born_in", "city"), ("city", "near", "city")
+
+
+def test_a_fit_logs_each_stage(spark, caplog):
+    graph = cm.KnowledgeGraph.from_lists(spark, {"person": 3, "city": 3}, {LIVES: [(0, 1), (1, 2), (2, 0)], BORN: [(0, 0), (1, 1), (2, 2)], NEAR: [(0, 1), (1, 2), (2, 0)]})
+    with caplog.at_level(logging.INFO, "clausemine.plans.rule_miner"):
+        miner = cm.RuleMiner(cm.MinerConfig(target_edge_type=LIVES, max_attempts=20, max_length=3)).fit(graph)
+    told = [r.getMessage() for r in caplog.records]
+    assert [m.split(":")[0] for m in told[:4]] == ["triples", "paths", "rules", "results"] and "rules pass" in told[4]
+    assert miner.predict().count() > 0
+
+
+def test_a_rule_without_predictions_is_trivial(spark):
+    graph = cm.KnowledgeGraph.from_lists(spark, {"person": 2, "city": 2}, {LIVES: [(0, 0)], BORN: [(0, 0)], NEAR: [(1, 1)]})
+    x, y, z = cm.Term.variable("X", "person"), cm.Term.variable("Y", "city"), cm.Term.variable("Z0", "city")
+    head = cm.Atom("lives_in", x, y)
+    rules = [cm.Rule(head, (cm.Atom("born_in", x, z), cm.Atom("near", z, y))), cm.Rule(head, (cm.Atom("born_in", x, y),))]
+    found = cm.evaluate(graph, cm.rules_frame(spark, rules))
+    got = {r.ord: (r.num_predictions, r.trivial) for r in found.select("ord", "num_predictions", cm.is_trivial(found.num_predictions).alias("trivial")).collect()}
+    assert got == {0: (0, True), 1: (1, False)}
