@@ -8,9 +8,10 @@
    for voters whose votes still correlate within a class: each of them weighs one over their number. Expectation-maximisation estimates each voter's rates and each document's posterior.
 3. A logistic regression on the votes and on hit counts is fitted to the posteriors and scores all texts.
 
-Documents used: at most ``TRAIN_ROWS`` labelled ones, for voters and label model, and at most ``UNLABELLED_ROWS``
-others, for the label model and the classifier, which so see texts that nobody labelled; both in hash order, so what reaches the driver is bounded
-(each as a short list of votes). A voter must stand in a fixed share of contexts for each toxic document, so
+Documents used: at most ``TRAIN_ROWS`` labelled ones, in hash order, so what reaches the driver is bounded (each as a
+short list of votes). Documents that nobody labelled can join the label model and the classifier (``unlabelled``);
+by default none do, as on inner folds of the labelled rows they made both worse: independent voters are too sure of
+what few votes mean. A voter must stand in a fixed share of contexts for each toxic document, so
 what is a voter does not depend on how many labels there are, and voters need no cap. Equal rows count once, and each doc_id gives its first text before any
 gives a second; scoring covers every row and whole texts.
 
@@ -23,6 +24,7 @@ repeated rows are a row each; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table, texts
 
-TRAIN_ROWS, UNLABELLED_ROWS = 20_000, 5_000
+TRAIN_ROWS = 20_000
+DRAWN = 4
 CONTEXTS_A_DOCUMENT, LEAST_SHARE = 0.025, 0.85
 STEMS = (4, 5, 6)
 ACCEPT = 0.7
@@ -46,32 +49,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` labelled documents that are not held out, in hash order, as a written table.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, unlabelled: int = 0) -> DataFrame:
+    """``doc_id, text, y`` of at most ``rows`` labelled documents and ``unlabelled`` others (y null), none held out, in hash order, as a written table.
 
-    Of a doc_id with several texts the first ones by hash, one of every doc_id before a second of any.
+    Of a doc_id with several texts the first ones by hash, one of every doc_id before a second of any. One
+    scan chooses among ids and hashes of texts, a second one fetches the texts chosen.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return first_texts(docs, chosen, rows, "training")
-
-
-def unlabelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = UNLABELLED_ROWS) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` documents that are neither labelled nor held out; y is null."""
-    named = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    chosen = ids.join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return first_texts(docs, chosen.withColumn("y", F.lit(None).cast("int")), rows, "unlabelled")
+    chosen = F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    known = texts(docs).withColumn("print", F.xxhash64("text"))
+    if unlabelled:
+        # a row is drawn with a chance that leaves more than enough; the number of rows comes from the files' footers
+        chance = min(1.0, DRAWN * unlabelled / max(docs.count(), 1))
+        drawn = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.pmod(draw(), F.lit(1 << 31)) < int(chance * (1 << 31)))
+        met = known.join(chosen, "doc_id", "left").filter(F.col("y").isNotNull() | drawn)
+    else:
+        met = known.join(chosen, "doc_id")
+    met = materialize(met.select("doc_id", "print", "y").distinct(), "training-ids")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("print"))
+    few = met.filter("y is not null").withColumn("turn", turn).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows).drop("turn")
+    if unlabelled:
+        others = met.filter("y is null")
+        taken = named.select("doc_id").join(F.broadcast(others.select("doc_id").distinct()), "doc_id", "left_semi")
+        few = few.unionByName(others.join(F.broadcast(taken), "doc_id", "left_anti").orderBy(draw(), "doc_id", "print").limit(unlabelled))
+    found = known.join(F.broadcast(few), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    return materialize(found.select("doc_id", "text", "y"), "training")
 
 
-def first_texts(docs: DataFrame, chosen: DataFrame, rows: int, name: str) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` rows of the ``chosen`` (doc_id, y), as a written table."""
-    known = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("print", F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("print"))
-    few = known.select("doc_id", "print").distinct().withColumn("turn", turn).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = known.join(F.broadcast(few.drop("turn")), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-    return materialize(found.select("doc_id", "text", "y"), name)
+def draw() -> Column:
+    return F.xxhash64("doc_id", "print")
 
 
 @dataclass
@@ -101,19 +108,17 @@ class Model:
     def voters(self) -> int:
         return len(self.words) + len(self.stems) + len(PATTERNS) + 1
 
-    def features(self, votes: list[list[int]]) -> np.ndarray:
-        n, first = self.voters, self.voters - len(PATTERNS) - 1
-        x = np.zeros((len(votes), n + 3))
-        for row, v in zip(x, votes, strict=True):
-            row[v] = 1
-            lexical = sum(i < first for i in v)
-            row[n:] = 1.0, np.log1p(lexical), min(lexical, 2)
-        return x
+    def counts(self, votes: list[list[int]]) -> np.ndarray:
+        """What the classifier sees of a row besides its votes."""
+        first = self.voters - len(PATTERNS) - 1
+        lexical = np.array([sum(i < first for i in v) for v in votes], float)
+        return np.column_stack([np.ones(len(votes)), np.log1p(lexical), np.minimum(lexical, 2)])
 
     def score(self, batch: list[str]) -> np.ndarray:
         if self.weight is None:
             return np.full(len(batch), self.base)
-        return sigmoid(self.features([self.votes(t) for t in batch]) @ self.weight)
+        votes = [self.votes(t) for t in batch]
+        return sigmoid(np.array([self.weight[v].sum() for v in votes], float) + self.counts(votes) @ self.weight[self.voters :])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,54 +126,118 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def mine(train: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Lexicon words and stems, numbered."""
-    toxic = train.filter("y = 1").count()
-    least = max(2, round(CONTEXTS_A_DOCUMENT * toxic))
+    """Lexicon words and stems, numbered; the contexts are gone through once, stems add up what their words have."""
+    least = max(2, round(CONTEXTS_A_DOCUMENT * train.filter("y = 1").count()))
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     pairs = train.select("y", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("before"), words.alias("word"))).alias("p"))
     contexts = pairs.select("y", "p.before", "p.word").filter("word is not null").distinct()
-    counts = lambda key: [F.count(F.when(F.col("y") == 1, 1)).alias("n1"), F.count(F.when(F.col("y") == 0, 1)).alias("n0"), *([F.count_distinct("word").alias("kinds")] if key == "stem" else [F.lit(9).alias("kinds")])]
-    sure = (F.col("n1") >= least) & (F.col("n1") >= LEAST_SHARE * (F.col("n1") + F.col("n0"))) & (F.col("kinds") > 1)
-    rank = [F.desc(F.col("n1") - 4 * F.col("n0")), "key"]
-    by_word = contexts.groupBy(F.col("word").alias("key")).agg(*counts("word")).filter(sure).orderBy(*rank)
-    stems = F.explode(F.array(*(F.when(F.char_length("word") > n, F.substring("word", 1, n)) for n in STEMS)))
-    by_stem = contexts.select("y", "word", "before", stems.alias("key")).filter("key is not null").groupBy("key").agg(*counts("stem")).filter(sure).orderBy(*rank)
-    word_list, stem_list = [r["key"] for r in by_word.collect()], [r["key"] for r in by_stem.collect()]
+    by_word = materialize(contexts.groupBy(F.col("word").alias("key")).agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")), "lexicon")
+    stems = F.explode(F.array(*(F.when(F.char_length("key") > n, F.substring("key", 1, n)) for n in STEMS)))
+    by_stem = by_word.select("n1", "n0", stems.alias("key")).filter("key is not null").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("kinds"))
+    sure = (F.col("n1") >= least) & (F.col("n1") >= LEAST_SHARE * (F.col("n1") + F.col("n0")))
+    best = lambda found: [r["key"] for r in found.filter(sure).orderBy(F.desc(F.col("n1") - 4 * F.col("n0")), "key").select("key").collect()]
+    word_list, stem_list = best(by_word), best(by_stem.filter("kinds > 1"))
     return {w: i for i, w in enumerate(word_list)}, {s: len(word_list) + i for i, s in enumerate(stem_list)}
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25, alike: float = 0.5) -> np.ndarray:
-    """Posterior of the toxic class per row from 0/1 votes and the given label (-1: none), a voter among others.
+class VotePatterns:
+    """The different (given label, votes) among documents, in order, and how many documents have each.
+
+    Votes are (row, voter) pairs, so memory follows the votes cast and not documents times voters.
+    """
+
+    def __init__(self, votes: list[list[int]], given: list[int], voters: int):
+        found = sorted(Counter(zip(given, map(tuple, votes), strict=True)).items())
+        self.voters = voters
+        self.votes = [list(v) for (_, v), _ in found]
+        self.given = np.array([g for (g, _), _ in found], int)
+        self.n = np.array([n for _, n in found], float)
+        self.row = np.repeat(np.arange(len(found)), [len(v) for v in self.votes])
+        self.voter = np.array([i for v in self.votes for i in v], int)
+
+    def by_voter(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of a row's weight over the rows where each voter votes."""
+        return np.bincount(self.voter, weight[self.row], self.voters)
+
+    def by_row(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a voter's value over the votes of each row."""
+        return np.bincount(self.row, value[self.voter], len(self.n))
+
+
+def label_model(p: VotePatterns, rounds: int = 25, alike: float = 0.5) -> np.ndarray:
+    """Posterior of the toxic class for each pattern, from its votes and the given label (-1: none), a voter among others.
 
     A voter whose votes correlate with those of others by more than ``alike`` within the classes weighs
     one over the number of these, itself included.
     """
-    share = np.ones(votes.shape[1])
-    known, base = given >= 0, (given == 1).sum() / max((given >= 0).sum(), 1)
-    post = np.where(known, np.where(given == 1, 0.9, 0.1), base)
+    share = np.ones(p.voters)
+    known, toxic = p.given >= 0, p.given == 1
+    base = p.n[toxic].sum() / max(p.n[known].sum(), 1)
+    post = np.where(known, np.where(toxic, 0.9, 0.1), base)
     for k in range(rounds):
         if k == rounds // 2:
-            share = 1 / group_sizes(votes, post, alike)
-        q = np.stack([1 - post, post])
-        rate = (q @ votes + 0.5) / (q.sum(1, keepdims=True) + 1)
-        right = np.array([(q[y][given == 1].sum() + (1 if y == 0 else 99)) / (q[y][known].sum() + 100) for y in (0, 1)])
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+            share = 1 / group_sizes(p, post, alike)
+        q = np.stack([1 - post, post]) * p.n
+        rate = np.array([(p.by_voter(w) + 0.5) / (w.sum() + 1) for w in q])
+        right = np.array([(q[y][toxic].sum() + (1 if y == 0 else 99)) / (q[y][known].sum() + 100) for y in (0, 1)])
+        prior = np.clip(q[1].sum() / p.n.sum(), 1e-3, 1 - 1e-3)
         yes, no = np.log(rate[1] / rate[0]) * share, np.log((1 - rate[1]) / (1 - rate[0])) * share
-        odds = np.log(prior / (1 - prior)) + votes @ (yes - no) + no.sum()
-        odds = odds + np.where(known, np.where(given == 1, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))), 0.0)
+        odds = np.log(prior / (1 - prior)) + p.by_row(yes - no) + no.sum()
+        odds = odds + np.where(known, np.where(toxic, np.log(right[1] / right[0]), np.log((1 - right[1]) / (1 - right[0]))), 0.0)
         post = sigmoid(odds)
     return post
 
 
-def group_sizes(votes: np.ndarray, post: np.ndarray, alike: float) -> np.ndarray:
-    """How many voters, itself included, each voter correlates with inside the classes."""
-    rest = votes.astype(np.float64)
-    for q in (post, 1 - post):
-        rest = rest - q[:, None] * (q @ votes / max(q.sum(), 1e-9))
-    spread = np.sqrt((rest**2).mean(0)) + 1e-6
-    close = rest.T @ rest / len(rest) / np.outer(spread, spread) > alike
-    np.fill_diagonal(close, True)
-    return close.sum(1).astype(float)
+def group_sizes(p: VotePatterns, post: np.ndarray, alike: float) -> np.ndarray:
+    """How many voters, itself included, each voter correlates with inside the classes.
+
+    Only voters that vote together somewhere can correlate so, hence a voter is compared with those that
+    vote in its own rows: its votes less what its classes' means explain, against theirs.
+    """
+    q = np.stack([1 - post, post])
+    total = np.maximum((q * p.n).sum(1), 1e-9)
+    sums = np.array([p.by_voter(w * p.n) for w in q])
+    mean = sums / total[:, None]
+    both = (q * p.n) @ q.T  # how far the classes overlap
+    rows = [[] for _ in range(p.voters)]
+    for i, v in zip(p.row.tolist(), p.voter.tolist(), strict=True):
+        rows[v].append(i)
+    spread = np.sqrt(np.maximum(p.by_voter(p.n) - 2 * (sums * mean).sum(0) + (mean * (both @ mean)).sum(0), 0) / p.n.sum()) + 1e-6
+    size = np.ones(p.voters)
+    for a, mine in enumerate(rows):
+        if mine:
+            met = np.concatenate([p.votes[i] for i in mine])
+            together = np.bincount(met, np.repeat(p.n[mine], [len(p.votes[i]) for i in mine]), p.voters)
+            shared = together - sums[:, a] @ mean - mean[:, a] @ sums + mean[:, a] @ both @ mean
+            close = shared / p.n.sum() / (spread[a] * spread) > alike
+            close[a] = True
+            size[a] = close.sum()
+    return size
+
+
+def sparse_logistic(p: VotePatterns, more: np.ndarray, post: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels over votes and ``more`` columns, by Newton's method with conjugate gradients."""
+    of_rows = lambda w: p.by_row(w[: p.voters]) + more @ w[p.voters :]
+    of_columns = lambda r: np.concatenate([p.by_voter(r), r @ more])
+    w = np.zeros(p.voters + more.shape[1])
+    for _ in range(steps):
+        s = sigmoid(of_rows(w))
+        slope = of_columns(p.n * (s - post)) + ridge * w
+        if np.abs(slope).max() < 1e-7:
+            break
+        curve = p.n * (s * (1 - s) + 1e-6)
+        move, rest = np.zeros_like(w), slope.copy()
+        ahead, size = rest.copy(), rest @ rest
+        for _ in range(4 * len(w)):
+            if size < 1e-16 * (slope @ slope):
+                break
+            bent = of_columns(curve * of_rows(ahead)) + ridge * ahead
+            pace = size / (ahead @ bent)
+            move += pace * ahead
+            rest -= pace * bent
+            ahead, size = rest + (rest @ rest / size) * ahead, rest @ rest
+        w -= move
+    return w
 
 
 def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 20) -> np.ndarray:
@@ -181,25 +250,22 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 20)
     return w
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
-    train = training_rows(docs, labels, "toxic", rows)
-    words, stems = mine(train)
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, unlabelled: int = 0) -> Model:
+    sample = training_rows(docs, labels, "toxic", rows, unlabelled)
+    words, stems = mine(sample.filter("y is not null"))
     model = Model(words=words, stems=stems)
 
     def vote(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.votes(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["y", "votes"])
 
-    more = train.unionByName(unlabelled_rows(docs, labels, "toxic", unlabelled))
-    seen = more.select("text", "y").mapInArrow(vote, "y int, votes array<int>").collect()  # at most `rows` + `unlabelled` short lists
-    given = np.array([-1 if r["y"] is None else r["y"] for r in seen], int)
-    labelled = given[given >= 0]
-    model.base = float(labelled.mean()) if len(labelled) else 0.0
-    if len(set(labelled.tolist())) == 2:
-        votes = [r["votes"] for r in seen]
-        x = model.features(votes)
-        post = label_model(x[:, : model.voters], given)
-        model.weight = logistic(x, post)
+    seen = sample.select("text", "y").mapInArrow(vote, "y int, votes array<int>").collect()  # at most `rows` + `unlabelled` short lists
+    given = [-1 if r["y"] is None else r["y"] for r in seen]
+    labelled = [y for y in given if y >= 0]
+    model.base = sum(labelled) / len(labelled) if labelled else 0.0
+    if len(set(labelled)) == 2:
+        patterns = VotePatterns([r["votes"] for r in seen], given, model.voters)
+        model.weight = sparse_logistic(patterns, model.counts(patterns.votes), label_model(patterns))
     return model
 
 
