@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of the run that tables are written for now, if any (see ``runs``).
+folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -29,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, partitioned by columns if asked."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
