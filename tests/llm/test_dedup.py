@@ -197,24 +197,63 @@ def test_vectors_of_any_magnitude_link(spark, scale):
     assert recall >= 0.98 and not wrong
 
 
-@pytest.mark.parametrize(("dim", "direction"), [(64, 0.0), (64, 1.0), (3, 0.0), (16, 0.5)])
+@pytest.mark.parametrize(("dim", "direction"), [(64, 0.0), (64, 1.0), (2, 0.0), (3, 0.0), (16, 0.5)])
 def test_recall_with_and_without_a_shared_direction(spark, dim, direction):
     x = planted(np.random.default_rng(dim), 600 if dim > 3 else 60, dim, direction)
     recall, wrong = recall_of(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     assert recall >= 0.97 and not wrong
 
 
-def test_a_shared_direction_does_not_draw_all_vectors_to_the_same_lines(spark):
+def candidate_rows(x, mean, n):
+    """Rows of the join on lines, of unit vectors with the settings that n of them get."""
+    from clausemine.llm.embedding_dedup import HALF_WINDOW, RECALL, SEED, THRESHOLD, calibrated, directions, tails
+
+    dim = x.shape[1]
+    found = calibrated(x, mean, n, HALF_WINDOW, THRESHOLD, RECALL, SEED)
+    line, value = tails(x - mean * found["centred"], directions(dim, found["families"], found["lines"], SEED), found["members"])
+    by_line = defaultdict(list)
+    for i in range(len(x)):
+        for ln, v in zip(line[i].tolist(), value[i].tolist(), strict=True):
+            by_line[ln].append((i, v))
+    met = 0
+    for i in range(len(x)):
+        for ln, v in zip(line[i, : found["queries"]].tolist(), value[i, : found["queries"]].tolist(), strict=True):
+            met += sum(abs(v - w) <= HALF_WINDOW and j != i for j, w in by_line[ln])
+    return met
+
+
+def test_a_shared_direction_does_not_draw_all_vectors_to_the_same_lines():
     """Candidate rows of the join on lines, of 1,000 vectors that share their mean: well below all pairs."""
-    from clausemine.llm.embedding_dedup import HALF_WINDOW, LINES, directions, tails, unit
+    from clausemine.llm.embedding_dedup import unit
 
     x = unit(planted(np.random.default_rng(9), 1000, 64, 1.0))
-    rows = {}
-    for name, mean in (("raw", 0.0), ("centred", x.mean(0))):
-        line, value = tails(x - mean, directions(64, LINES, 7), 24)
-        by_line = defaultdict(list)
-        for i in range(len(x)):
-            for ln, v in zip(line[i], value[i], strict=True):
-                by_line[ln].append((i, v))
-        rows[name] = sum(abs(v - w) <= HALF_WINDOW for i in range(len(x)) for ln, v in zip(line[i, :6], value[i, :6], strict=True) for _, w in by_line[ln])
-    assert rows["centred"] < 0.1 * len(x) ** 2 < rows["raw"]
+    assert candidate_rows(x, x.mean(0), 1000) < 0.1 * len(x) ** 2
+
+
+def test_candidate_rows_follow_the_vectors_and_not_their_square():
+    """Vectors of which none are alike: four times as many meet about four times as many members, not sixteen."""
+    from clausemine.llm.embedding_dedup import unit
+
+    x = unit(np.random.default_rng(3).standard_normal((8000, 64)))
+    few, many = (candidate_rows(x[:n], x[:n].mean(0), n) for n in (2000, 8000))
+    assert many < 8 * few
+
+
+def test_the_farthest_sums_are_found_among_the_farthest_terms():
+    from clausemine.llm.embedding_dedup import directions, tails
+
+    rng = np.random.default_rng(6)
+    x, families = rng.standard_normal((20, 8)), directions(8, 3, 5, 7)
+    line, value = tails(x, families, 12)
+    assert all(len(set(row)) == 12 for row in line.tolist())
+    near = [np.abs(x @ f) for f in families]
+    sums = (near[0][:, :, None, None] + near[1][:, None, :, None] + near[2][:, None, None, :]).reshape(20, -1)
+    assert np.allclose(value, np.sort(sums, axis=1)[:, ::-1][:, :12])
+
+
+@pytest.mark.parametrize("n", [1, 1000, 10**6, 10**8, 10**10])
+def test_lines_follow_the_number_of_vectors(n):
+    from clausemine.llm.embedding_dedup import ENDS, family_sizes
+
+    families, lines = family_sizes(n)
+    assert ENDS * n <= (2 * lines) ** families * 1.01 and (2 * (lines - 1)) ** families < ENDS * n and families * lines <= 20_000
