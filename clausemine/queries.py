@@ -96,7 +96,7 @@ def split(spark: SparkSession, d: str) -> tuple[kg.KnowledgeGraph, DataFrame]:
 def all_ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
     graph, tests = split(spark, d)
     store = ReachStore(graph)
-    scored = stored(rounded(scores(graph, learned(graph, store), store=store), "score"), "scores")  # equal scores stay ties however they were multiplied
+    scored = rounded(scores(graph, learned(graph, store), store=store), "score")  # equal scores stay ties however they were multiplied
     return ranks(graph, scored, tests, kg.BOUGHT_FROM, filtered).drop("test_id")
 
 
