@@ -24,3 +24,22 @@ def test_a_rule_without_predictions_is_trivial(spark):
     found = cm.evaluate(graph, cm.rules_frame(spark, rules))
     got = {r.ord: (r.num_predictions, r.trivial) for r in found.select("ord", "num_predictions", cm.is_trivial(found.num_predictions).alias("trivial")).collect()}
     assert got == {0: (0, True), 1: (1, False)}
+
+
+def test_a_fit_over_loops_yields_and_judges_ac2_rules(spark):
+    """A walk that starts from a loop comes back to its head, so the rule's second variable stays free; numbers against plain Python."""
+    knows, likes = ("person", "knows", "person"), ("person", "likes", "person")
+    known, liked = [(0, 0), (0, 1), (2, 2), (3, 1)], [(0, 1), (1, 0), (2, 3), (3, 2), (3, 4)]
+    graph = cm.KnowledgeGraph.from_lists(spark, {"person": 6}, {knows: known, likes: liked})
+    config = cm.MinerConfig(target_edge_type=knows, sample_size=40, max_attempts=60, max_length=2, min_support=1, min_confidence=0.0, min_head_coverage=0.0)
+    miner = cm.RuleMiner(config).fit(graph)
+    x, y, z = (cm.Term.variable(n, "person") for n in ("X", "Y", "Z0"))
+    rule = cm.Rule(cm.Atom("knows", x, y), (cm.Atom("likes", x, z), cm.Atom("likes", z, x)))
+    assert rule.rule_type == cm.RuleType.AC2
+    found = {cm.rule_of(r): r for r in miner.results.collect()}[rule]
+    starts = {a for a, b in liked for c, _ in liked if b == c}
+    hits = sum(a in starts for a, _ in known)
+    assert (found.support, found.num_predictions) == (hits, 6 * len(starts))
+    assert abs(found.confidence - hits / (6 * len(starts))) < 1e-9 and abs(found.head_coverage - hits / len(known)) < 1e-9
+    # what an AC2 rule says of all nodes is no prediction
+    assert miner.results.filter("rule_type = 'ac2'").count() and miner.predict().count() < 36
