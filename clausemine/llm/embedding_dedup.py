@@ -12,8 +12,9 @@ length. A direction is the sum of one direction out of each of two families (thr
 all the lines: the farthest sums come from the farthest terms.
 
 Each length of vector has its own number of lines, members and queries, and its own bound: the highest that keeps the recall asked for on
-pairs at exactly the threshold, made from about ``PAIRS`` of the table's own vectors (chosen by hash) and random directions. Where recall
-is too low for one collision, more members are taken, then fewer lines; a length for which no number of lines keeps it raises ValueError.
+pairs at exactly the threshold. Every vector of the table takes part in one such pair (in more where a length has less than ``PAIRS`` vectors), its partner
+is made from one of ``PARTNERS`` random directions that a hash of the vector picks, and what the pairs meet is counted in tasks; nothing is sampled. Where recall
+is too low for one collision, more members are taken, then fewer lines, each in another pass over the vectors of such lengths; a length for which no number of lines keeps it raises ValueError.
 The mean keeps a direction that all vectors share from drawing all of them to the same lines. It is taken for the ``MEANS`` most frequent
 lengths that keep the recall with it; the others use zero. Pairs are verified on the vectors as they are, each divided by its largest component first, so that
 no square overflows or vanishes.
@@ -30,6 +31,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -43,7 +45,7 @@ from .shared import components, materialize, table
 THRESHOLD, HALF_WINDOW, RECALL, SEED = 0.95, 0.5, 0.98, 7
 ENDS, FAMILY = 64, 4096  # line ends for each vector; the most directions in a family of two
 REACHES = ((48, 8), (96, 12))  # members and queries of a vector: the first that keeps the recall
-PAIRS, MEANS = 1500, 64
+PAIRS, PARTNERS, MEANS = 1500, 1024, 64  # the least pairs that a bound rests on; directions that make partners
 Means = dict[int, np.ndarray]
 
 
@@ -83,43 +85,61 @@ def tails(centred: np.ndarray, families: list[np.ndarray], members: int) -> tupl
     for family in families:
         z = centred @ family
         ends, far = farthest(2 * np.arange(z.shape[1]) + (z < 0), np.abs(z), members)
-        line = (line[:, :, None] * (2 * z.shape[1]) + ends[:, None, :]).reshape(len(z), -1)
-        value = (value[:, :, None] + far[:, None, :]).reshape(len(z), -1)
-        line, value = farthest(line, value, members)
+        i, j = np.divmod(np.arange(value.shape[1] * far.shape[1]), far.shape[1])
+        some = (i + 1) * (j + 1) <= members  # both are sorted: before any other sum there are (i + 1) * (j + 1) - 1 that are no less
+        line, value = farthest(line[:, i[some]] * (2 * z.shape[1]) + ends[:, j[some]], value[:, i[some]] + far[:, j[some]], members)
     return line, value
 
 
-def collisions_needed(sample: np.ndarray, mean: np.ndarray, families: list[np.ndarray], queries: int, members: int, half: float, threshold: float, recall: float, seed: int) -> tuple[int, float]:
-    """The highest count that keeps ``recall`` of pairs at the threshold, and the share it keeps; ``sample`` are unit vectors, each is given a partner."""
-    rng = np.random.default_rng([seed, sample.shape[1], len(families)])
-    x = sample[rng.permutation(np.arange(PAIRS) % len(sample))]
-    y = rng.standard_normal(x.shape)
-    y -= (y * x).sum(1, keepdims=True) * x
-    y = unit(threshold * x + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12))
-    counts = np.zeros(len(x), np.int64)
+def pairs_each(n: int) -> int:
+    """Of n vectors of a length, how many pairs each is given."""
+    return -(-PAIRS // n)
+
+
+def collisions(x: np.ndarray, prints: np.ndarray, each: int, mean: np.ndarray, families: list[np.ndarray], queries: int, members: int, half: float, threshold: float, seed: int) -> np.ndarray:
+    """How often each unit vector meets ``each`` partners at the threshold, pair by pair; its print picks the partners, wherever the vector stands."""
+    some = np.random.default_rng([seed, x.shape[1], len(families)]).standard_normal((PARTNERS, x.shape[1]))
+    counts = np.zeros((len(x), each), np.int64)
     for k in range(0, len(x), 250):  # bounded memory
         s = slice(k, k + 250)
-        (lx, vx), (ly, vy) = tails(x[s] - mean, families, members), tails(y[s] - mean, families, members)
-        meet = (lx[:, :, None] == ly[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= half)
-        counts[s] = meet[:, :queries, :].sum((1, 2)) + meet[:, :, :queries].sum((1, 2))
-    bound = 1
-    while (counts >= bound + 1).mean() >= recall:
+        lx, vx = tails(x[s] - mean, families, members)
+        for j in range(each):
+            y = some[(prints[s] + j) % PARTNERS]
+            y = y - (y * x[s]).sum(1, keepdims=True) * x[s]
+            y = unit(threshold * x[s] + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12))
+            ly, vy = tails(y - mean, families, members)
+            meet = (lx[:, :, None] == ly[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= half)
+            counts[s, j] = meet[:, :queries, :].sum((1, 2)) + meet[:, :, :queries].sum((1, 2))
+    return counts.ravel()
+
+
+def bound_of(met: np.ndarray, pairs: np.ndarray, recall: float) -> tuple[int, float]:
+    """The highest count that keeps ``recall`` of the pairs, 1 if none does, and the share it keeps; ``pairs[i]`` of them met ``met[i]`` times."""
+    whole, bound = pairs.sum(), 1
+    while pairs[met >= bound + 1].sum() / whole >= recall:
         bound += 1
-    return bound, float((counts >= bound).mean())
+    return bound, float(pairs[met >= bound].sum() / whole)
 
 
-def calibrated(sample: np.ndarray, mean: np.ndarray, n: int, half: float, threshold: float, recall: float, seed: int) -> dict:
-    """The settings of the n vectors of this length: as many lines as follow from n and keep the recall, with the mean or without."""
+def choice(dim: int, n: int, step: int) -> dict:
+    """The step-th settings for n vectors of a length: with the mean or without, more members, then half the lines."""
     families, lines = family_sizes(n)
-    while lines:
-        of = directions(sample.shape[1], families, lines, seed)
-        for centred in (True, False):
-            for members, queries in REACHES:
-                bound, share = collisions_needed(sample, mean * centred, of, queries, members, half, threshold, recall, seed)
-                if share >= recall:
-                    return {"families": families, "lines": lines, "members": members, "queries": queries, "bound": bound, "recall": share, "centred": centred}
-        lines //= 2
-    raise ValueError(f"no number of lines keeps a recall of {recall} for vectors of length {sample.shape[1]}")
+    lines >>= step // (2 * len(REACHES))
+    if not lines:
+        raise ValueError(f"no number of lines keeps the recall for vectors of length {dim}")
+    members, queries = REACHES[step % len(REACHES)]
+    return {"families": families, "lines": lines, "members": members, "queries": queries, "centred": step // len(REACHES) % 2 == 0}
+
+
+def calibrated(x: np.ndarray, mean: np.ndarray, n: int, half: float, threshold: float, recall: float, seed: int) -> dict:
+    """``settings_of`` for unit vectors in memory, all of one length, with as many lines as n of them get."""
+    for step in itertools.count():
+        found = choice(x.shape[1], n, step)
+        of = directions(x.shape[1], found["families"], found["lines"], seed)
+        counts = collisions(x, np.arange(len(x)), pairs_each(len(x)), mean * found["centred"], of, found["queries"], found["members"], half, threshold, seed)
+        bound, share = bound_of(*np.unique(counts, return_counts=True), recall)
+        if share >= recall:
+            return found | {"bound": bound, "recall": share}
 
 
 def means_of(classes: DataFrame, sizes: DataFrame) -> Means:
@@ -142,24 +162,51 @@ def means_of(classes: DataFrame, sizes: DataFrame) -> Means:
     return {r["dim"]: np.array([m["mean"] for m in r["mean"]]) for r in found}
 
 
-SETTINGS = "dim int, families int, lines int, members int, queries int, bound int, recall double, centred boolean"
+SETTINGS = "dim int, n long, families int, lines int, members int, queries int, centred boolean, bound int, recall double, pairs long"
 PLACING = ["families", "lines", "members", "queries", "centred"]
 
 
+def tried(classes: DataFrame, sizes: DataFrame, step: int, means: Means, half: float, threshold: float, recall: float, seed: int) -> DataFrame:
+    """``SETTINGS`` of this step for the lengths in ``sizes``: every vector of theirs meets its partners."""
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        known: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            dims, ns = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                n = int(ns[at[0]])
+                found = choice(dim, n, step)
+                if dim not in known:
+                    known[dim] = directions(dim, found["families"], found["lines"], seed)
+                x, prints = unit(matrix(b.column(2).take(pa.array(at)), dim)), b.column(3).to_numpy()[at]
+                counts = collisions(x, prints, pairs_each(n), means.get(dim, np.zeros(dim)) * found["centred"], known[dim], found["queries"], found["members"], half, threshold, seed)
+                met, pairs = np.unique(counts, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), dim, np.int32)), pa.array(np.full(len(met), n)), pa.array(met), pa.array(pairs)], ["dim", "n", "met", "pairs"])
+
+    def bound(rows: pa.Table) -> pa.Table:
+        dim, n, pairs = rows["dim"][0].as_py(), rows["n"][0].as_py(), rows["pairs"].to_numpy()
+        of, share = bound_of(rows["met"].to_numpy(), pairs, recall)
+        row = {"dim": dim, "n": n, **choice(dim, n, step), "bound": of, "recall": share, "pairs": int(pairs.sum())}
+        kinds = {"n": pa.int64(), "pairs": pa.int64(), "recall": pa.float64(), "centred": pa.bool_()}
+        return pa.table({k: pa.array([v], kinds.get(k, pa.int32())) for k, v in row.items()})
+
+    prints = F.pmod(F.xxhash64("embedding"), F.lit(PARTNERS))
+    sized = classes.select(F.size("embedding").alias("dim"), "embedding", prints.alias("print")).join(F.broadcast(sizes), "dim").select("dim", "n", "embedding", "print")
+    counts = sized.mapInArrow(meet, "dim int, n long, met long, pairs long").groupBy("dim", "n", "met").agg(F.sum("pairs").alias("pairs"))
+    return materialize(counts.groupBy("dim").applyInArrow(bound, SETTINGS), "settings")
+
+
 def settings_of(classes: DataFrame, sizes: DataFrame, means: Means, half: float, threshold: float, recall: float, seed: int) -> DataFrame:
-    """``SETTINGS`` for every length of vector; calibrated inside tasks on about PAIRS vectors of the length."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        dim = rows["dim"][0].as_py()
-        sample = unit(matrix(rows["embedding"].combine_chunks(), dim))
-        found = calibrated(sample, means.get(dim, np.zeros(dim)), rows["n"][0].as_py(), half, threshold, recall, seed)
-        kinds = {"recall": pa.float64(), "centred": pa.bool_()}
-        return pa.table({k: pa.array([v], kinds.get(k, pa.int32())) for k, v in {"dim": dim, **found}.items()})
-
-    sized = classes.select(F.size("embedding").alias("dim"), "embedding").join(F.broadcast(sizes), "dim")
-    some = sized.filter(F.pmod(F.xxhash64("embedding"), F.lit(1 << 40)) * F.col("n") < F.lit(float(PAIRS << 40)))
-    one = sized.groupBy("dim").agg(F.min("embedding").alias("embedding"), F.max("n").alias("n"))  # a length whose sample may be empty
-    return materialize(some.select("dim", "embedding", "n").unionByName(one).groupBy("dim").applyInArrow(run, SETTINGS), "settings")
+    """``SETTINGS`` for every length of vector: the first that keep the recall over all vectors of the length."""
+    found = None
+    for step in itertools.count():
+        now = tried(classes, sizes, step, means, half, threshold, recall, seed)
+        done = now.filter(F.col("recall") >= recall)
+        found = found.unionByName(done) if found else done
+        sizes = now.filter(F.col("recall") < recall).select("dim", "n")
+        if sizes.isEmpty():
+            return found
 
 
 def lines_of(classes: DataFrame, means: Means, half: float, seed: int) -> DataFrame:

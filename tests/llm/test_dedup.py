@@ -257,3 +257,38 @@ def test_lines_follow_the_number_of_vectors(n):
 
     families, lines = family_sizes(n)
     assert ENDS * n <= (2 * lines) ** families * 1.01 and (2 * (lines - 1)) ** families < ENDS * n and families * lines <= 20_000
+
+
+def test_vectors_that_a_hash_leaves_out_count_for_the_bound(spark):
+    """Half of the vectors lie near the mean, where pairs meet less often; by their hashes a sample of 1,500 would hold none of these."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    near = rng.standard_normal((8000, 64)) / 8
+    near[:, 0] += 2
+    base = np.concatenate([rng.standard_normal((8000, 64)), near])
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal(base.shape)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    pairs = np.stack([base, 0.951 * base + np.sqrt(1 - 0.951**2) * noise], 1).reshape(-1, 64)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pairs)], DOUBLES)
+    low = {r.vec_id: r.low for r in frame.select("vec_id", (F.pmod(F.xxhash64("embedding"), F.lit(1 << 40)) < 1 << 39).alias("low")).collect()}
+    far = [k for k in range(0, 16_000, 2) if low[k] and low[k + 1]][:750]
+    close = [k for k in range(16_000, 32_000, 2) if not low[k] and not low[k + 1]][:750]
+    assert len(far) == len(close) == 750
+    recall, wrong = recall_of(spark, [(i, pairs[i].tolist()) for k in far + close for i in (k, k + 1)])
+    assert recall >= 0.97 and not wrong
+
+
+def test_settings_rest_on_every_vector(spark):
+    """Each length has a pair for each of its vectors, and no less than PAIRS."""
+    from clausemine.llm import embedding_dedup as op
+
+    rng = np.random.default_rng(12)
+    x = {dim: rng.standard_normal((n, dim)) for dim, n in ((16, 2500), (8, 40))}
+    frame = spark.createDataFrame([(v.tolist(),) for rows in x.values() for v in rows], "embedding array<double>").repartition(5)
+    sizes = spark.createDataFrame([(dim, len(rows)) for dim, rows in x.items()], "dim int, n long")
+    got = {r.dim: r for r in op.settings_of(frame, sizes, {}, op.HALF_WINDOW, op.THRESHOLD, op.RECALL, op.SEED).collect()}
+    assert {dim: r.pairs for dim, r in got.items()} == {16: 2500, 8: 40 * 38}
+    assert all(r.recall >= op.RECALL for r in got.values())
