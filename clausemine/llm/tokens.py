@@ -7,8 +7,8 @@ text. The text of a special token is a piece of its own, as in the library.
 
 Most pieces are a word of Latin letters with some punctuation after it. What the library's pre-tokenizer makes of these
 is known (checked against it when a file is opened), so they go to the library's model part by part; all
-others go through the whole library. A batch of texts is cut, its pieces numbered and the ids put in place by Arrow's kernels; Python sees each
-different piece of a batch once.
+others go through the whole library. A batch of texts is cut, its pieces numbered and divided into words and punctuation, and the ids put in place by
+Arrow's kernels; Python sees each different word of a batch once, whatever its case (for vocabularies that lower it) and the punctuation after it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ UNUSUAL_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 PIECES = re.compile(rf"(?<=[^ \n\t\r{UNUSUAL_SPACE}])(?=[ \n\t\r])")
 #: White space before it, Latin letters whose case and form all Unicode versions agree on, punctuation without the apostrophe of contractions.
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
-SIMPLE = re.compile(rf"([ \n]?)([{LETTERS}]+)([!\"#$%&()*+,./:;<=>?@\[\\\]^_`{{|}}~-]*)")
+#: A key (see ``_raw``) of such a piece, for Arrow.
+SIMPLE = rf"\A(?P<lead>\r[ \n]?|\n)?(?P<word>[{LETTERS}]+)(?P<rest>[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{{|}}~-]*)\z"
 SPACE, LINE = "\u0120", "\u010a"  # how byte-level vocabularies write them
 PROBES = (" word", " Straße,", "\nÉa", "Zug###", " a.", "\nThe-", " ÀB!?", "x", " ſŁn&&&")
 KNOWN_WORDS, KNOWN_PARTS = 400_000, 400_000
@@ -32,8 +33,8 @@ TOGETHER = 200
 class WordEncoder:
     """Encodes texts to little-endian ids of ``width`` bytes.
 
-    Two generations of at most ``known`` pieces each are kept: when the younger one is full it
-    becomes the older one, so frequent pieces stay and memory is bounded.
+    Two generations of at most ``known`` words and pieces each are kept (more only if one batch has more): when the younger one is full it
+    becomes the older one, so frequent ones stay and memory is bounded.
     """
 
     def __init__(self, path: str, width: int = 4, known: int = KNOWN_WORDS):
@@ -59,10 +60,12 @@ class WordEncoder:
         self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.shown = str.maketrans({chr(b): c for c, b in byte_of_char().items()})
         self.parts: dict[str, bytes] = {}
-        self.simple = True
-        self.simple = all(self._simple(p) == self._ids(p) for p in PROBES)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        letters = "".join(re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x180)))))
+        self.simple = pc.utf8_lower(letters).as_py() == letters.lower()
+        if self.simple and self._pieces(pa.array(["\r" + p for p in PROBES], pa.large_string())).to_pylist() != [self._ids(p) for p in PROBES]:
+            self.simple, self.young = False, {}
 
     def _ids(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -76,62 +79,78 @@ class WordEncoder:
             found = self.parts[part] = b"".join([bytes_of[t.id] for t in self.model.tokenize(part)])
         return found
 
-    def _simple(self, piece: str) -> bytes | None:
-        """Ids of a simple piece from the model alone; None if it is none."""
-        match = SIMPLE.fullmatch(piece) if self.simple else None
-        if match is None:
-            return None
-        space, word, rest = match.groups()
-        if self.lower:
-            word = word.lower()
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin letters from the model alone; a space before them counts."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.shown)
-        if not self.lower and space == "\n":
-            out = self._part(LINE) + self._part(word)
-        else:
-            out = self._part(SPACE + word if space and not self.lower else word)
-        return out + self._part(rest) if rest else out
-
-    def _learn(self, keys: list[str]) -> None:
-        """All new pieces at once: simple ones by the model, the rest through the library in groups that a special token divides."""
-        simple, young, hard = self._simple, self.young, []
-        for k in keys:
-            found = simple(k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k)
-            if found is None:
-                hard.append(k)
-            else:
-                young[k] = found
-        raw = [self._raw(k) for k in hard]
+        elif word[0] == " ":
+            word = SPACE + word[1:]
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in self.model.tokenize(word)])
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        return list(map(self._word, words))
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """Ids of new pieces through the library, in groups that a special token divides."""
+        raw = [self._raw(k) for k in keys]
         np, w = self.np, self.width
         if self.mark is None:
-            self.young.update(zip(hard, map(self._ids, raw), strict=True))
-            return
+            return list(map(self._ids, raw))
         groups = [raw[i : i + TOGETHER] for i in range(0, len(raw), TOGETHER)]
         found = []
         for enc in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False):
             ids = np.array(enc.ids, np.uint32)
             cut, data = np.flatnonzero(ids == self.mark_id) * w, ids.astype(self.dtype).tobytes()
             found += [data[x:y] for x, y in zip([0, *(cut + w).tolist()], [*cut.tolist(), len(data)], strict=True)]
-        self.young.update(zip(hard, found, strict=True))
+        return found
 
     @staticmethod
     def _raw(key: str) -> str:
         """The piece that a key stands for: after a carriage return as it is, after a line feed too, else with a space before it."""
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
-    def _known(self, keys: list[str]) -> list[bytes]:
-        """Ids of different pieces; all new ones go through the tokenizer in one call."""
-        if len(self.young) + len(keys) > self.known:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+    def _known(self, keys: list[str], learn) -> list[bytes]:
+        """Ids of different words or pieces; all new ones are learnt in one call."""
+        young = self.young
         new = [p for p in keys if p not in young]
+        if len(young) + len(new) > self.known:
+            self.old, self.young = young, {}
+            young, new = self.young, keys
+        old = self.old
         if old and new:
             young.update((p, old[p]) for p in new if p in old)
-            new = [p for p in new if p not in old]
+            new = [p for p in new if p not in young]
         if new:
-            self._learn(new)
+            young.update(zip(new, learn(new), strict=True))
         return [young[p] for p in keys]
 
+    def _pieces(self, keys):
+        """Ids of different pieces, by their keys."""
+        np, pa, pc = self.np, self.pa, self.pc
+        if not self.simple:
+            return pa.array(self._known(keys.to_pylist(), self._learn), pa.large_binary())
+        found = pc.extract_regex(keys, SIMPLE)
+        easy = found.is_valid()
+        lead, word, rest = found.filter(easy).flatten()
+        if self.lower:
+            word = pc.utf8_lower(word)
+        else:
+            spaced = pc.or_(pc.equal(lead, ""), pc.equal(lead, "\r "))
+            empty, space = (pa.scalar(c, pa.large_string()) for c in ("", " "))
+            word = pc.binary_join_element_wise(pc.if_else(spaced, space, empty), word, empty)
+        words, rests = word.dictionary_encode(), rest.dictionary_encode()
+        parts = [pa.array(self._known(words.dictionary.to_pylist(), self._learn_words), pa.large_binary()).take(words.indices)]
+        parts.append(pa.array([self._part(r) if r else b"" for r in rests.dictionary.to_pylist()], pa.large_binary()).take(rests.indices))
+        if not self.lower:
+            lines = pa.array([b"", self._part(LINE)], pa.large_binary())
+            parts.insert(0, lines.take(pc.ends_with(lead, "\n").cast(pa.int8())))
+        hard = self._known(keys.filter(pc.invert(easy)).to_pylist(), self._learn)
+        ids = pa.concat_arrays([pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())), pa.array(hard, pa.large_binary())])
+        order = np.empty(len(keys), np.int64)
+        order[np.argsort(~easy.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(keys))
+        return ids.take(pa.array(order))
+
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
@@ -159,7 +178,7 @@ class WordEncoder:
         if not len(ends):
             return out
         coded = pa.concat_arrays([lists.flatten(), pa.array(keys, pa.large_string())]).dictionary_encode()
-        taken = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        taken = self._pieces(coded.dictionary).take(coded.indices)
         at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends].tolist()
         data = memoryview(taken.buffers()[2] or b"")
         for i, a, b in zip([*(i for i, _ in plain), *order], [0, *at], at, strict=False):

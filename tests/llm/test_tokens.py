@@ -49,6 +49,27 @@ def test_word_encoder_equals_the_library(library, path):
     check()
 
 
+@pytest.mark.parametrize(("path", "words"), [(WORD, {"word"}), (BYTE, {" word", " Word", " WORD", "word"})])
+def test_a_word_is_learnt_once_whatever_stands_around_it(library, path, words):
+    """Punctuation, lines and, for vocabularies that lower it, case make no new words to learn."""
+    enc = WordEncoder(path)
+    probes = set(enc.young)
+    text = "word Word WORD word, word. (word) Word!? WORD;\nword\nword: word"
+    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ids_of(library[path], text)
+    assert set(enc.young) - probes == (words | {"(word)"}) - probes
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_letters_of_any_case_and_memory(library, path):
+    """All Latin letters in words after a space, a line and nothing, with a memory of two words and of many."""
+    letters = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]))
+    text = " ".join(f"{a}{b}{c}" for a, b, c in zip(letters, letters[7:], ["", ",", "\n" + letters[40], ".)"] * 200, strict=False))
+    for known in (2, 1000):
+        enc = WordEncoder(path, known=known)
+        for _ in range(2):
+            assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode([text, text[::-1]])] == [ids_of(library[path], t) for t in (text, text[::-1])]
+
+
 def test_chunks_equal_the_library(library):
     rng, enc = random.Random(9), chunk_encoder(BYTE)
     words = ["".join(rng.choice("abcdefghij'é東.,0") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
