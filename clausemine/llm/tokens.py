@@ -22,12 +22,14 @@ UNUSUAL_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 PIECES = re.compile(rf"(?<=[^ \n\t\r{UNUSUAL_SPACE}])(?=[ \n\t\r])")
 #: White space before it, Latin letters whose case and form all Unicode versions agree on, punctuation without the apostrophe of contractions.
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
-#: A key (see ``_raw``) of such a piece, for Arrow.
-SIMPLE = rf"\A(?P<lead>\r[ \n]?|\n)?(?P<word>[{LETTERS}]+)(?P<rest>[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{{|}}~-]*)\z"
+#: A key (see ``_raw``) of such a piece.
+SIMPLE = rf"(?P<lead>\r[ \n]?|\n)?(?P<word>[{LETTERS}]+)(?P<rest>[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{{|}}~-]*)"
+SIMPLE_KEY = re.compile(SIMPLE)
 SPACE, LINE = "\u0120", "\u010a"  # how byte-level vocabularies write them
 PROBES = (" word", " Straße,", "\nÉa", "Zug###", " a.", "\nThe-", " ÀB!?", "x", " ſŁn&&&")
 KNOWN_WORDS, KNOWN_PARTS = 400_000, 400_000
 TOGETHER = 200
+FEW, KNOWN_FEW = 2000, 100_000  # for fewer pieces Arrow's kernels cost more than they save
 
 
 class WordEncoder:
@@ -60,12 +62,14 @@ class WordEncoder:
         self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.shown = str.maketrans({chr(b): c for c, b in byte_of_char().items()})
         self.parts: dict[str, bytes] = {}
+        self.few: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         letters = "".join(re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x180)))))
         self.simple = pc.utf8_lower(letters).as_py() == letters.lower()
-        if self.simple and self._pieces(pa.array(["\r" + p for p in PROBES], pa.large_string())).to_pylist() != [self._ids(p) for p in PROBES]:
-            self.simple, self.young = False, {}
+        probes, right = ["\r" + p for p in PROBES], [self._ids(p) for p in PROBES]
+        if self.simple and not self._few(probes) == self._many(pa.array(probes, pa.large_string())).to_pylist() == right:
+            self.simple, self.young, self.few = False, {}, {}
 
     def _ids(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -125,12 +129,34 @@ class WordEncoder:
             young.update(zip(new, learn(new), strict=True))
         return [young[p] for p in keys]
 
-    def _pieces(self, keys):
-        """Ids of different pieces, by their keys."""
+    def _few(self, keys: list[str]) -> list[bytes]:
+        """Ids of few different pieces, by their keys."""
+        few = self.few
+        if len(few) > KNOWN_FEW:
+            few.clear()
+        easy, hard = [], []
+        for k in keys:
+            if k not in few:
+                match = SIMPLE_KEY.fullmatch(k) if self.simple else None
+                if match is None:
+                    hard.append(k)
+                    continue
+                lead, word, rest = match.groups("")
+                easy.append((k, lead, word.lower() if self.lower else " " + word if lead in ("", "\r ") else word, rest))
+        words = list(dict.fromkeys(word for _, _, word, _ in easy))
+        ids = dict(zip(words, self._known(words, self._learn_words), strict=True))
+        for k, lead, word, rest in easy:
+            line = self._part(LINE) if lead[-1:] == "\n" and not self.lower else b""
+            few[k] = line + ids[word] + (self._part(rest) if rest else b"")
+        few.update(zip(hard, self._known(hard, self._learn), strict=True))
+        return [few[k] for k in keys]
+
+    def _many(self, keys):
+        """Ids of different pieces, by their keys, as Arrow's kernels find them."""
         np, pa, pc = self.np, self.pa, self.pc
         if not self.simple:
             return pa.array(self._known(keys.to_pylist(), self._learn), pa.large_binary())
-        found = pc.extract_regex(keys, SIMPLE)
+        found = pc.extract_regex(keys, rf"\A{SIMPLE}\z")
         easy = found.is_valid()
         lead, word, rest = found.filter(easy).flatten()
         if self.lower:
@@ -178,7 +204,8 @@ class WordEncoder:
         if not len(ends):
             return out
         coded = pa.concat_arrays([lists.flatten(), pa.array(keys, pa.large_string())]).dictionary_encode()
-        taken = self._pieces(coded.dictionary).take(coded.indices)
+        pieces = coded.dictionary
+        taken = (self._many(pieces) if len(pieces) >= FEW else pa.array(self._few(pieces.to_pylist()), pa.large_binary())).take(coded.indices)
         at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends].tolist()
         data = memoryview(taken.buffers()[2] or b"")
         for i, a, b in zip([*(i for i, _ in plain), *order], [0, *at], at, strict=False):

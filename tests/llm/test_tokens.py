@@ -49,9 +49,11 @@ def test_word_encoder_equals_the_library(library, path):
     check()
 
 
+@pytest.mark.parametrize("few", [0, 2000])
 @pytest.mark.parametrize(("path", "words"), [(WORD, {"word"}), (BYTE, {" word", " Word", " WORD", "word"})])
-def test_a_word_is_learnt_once_whatever_stands_around_it(library, path, words):
+def test_a_word_is_learnt_once_whatever_stands_around_it(library, path, words, few, monkeypatch):
     """Punctuation, lines and, for vocabularies that lower it, case make no new words to learn."""
+    monkeypatch.setattr("clausemine.llm.tokens.FEW", few)
     enc = WordEncoder(path)
     probes = set(enc.young)
     text = "word Word WORD word, word. (word) Word!? WORD;\nword\nword: word"
@@ -59,9 +61,11 @@ def test_a_word_is_learnt_once_whatever_stands_around_it(library, path, words):
     assert set(enc.young) - probes == (words | {"(word)"}) - probes
 
 
+@pytest.mark.parametrize("few", [0, 2000])
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_letters_of_any_case_and_memory(library, path):
-    """All Latin letters in words after a space, a line and nothing, with a memory of two words and of many."""
+def test_letters_of_any_case_and_memory(library, path, few, monkeypatch):
+    """All Latin letters in words after a space, a line and nothing, with a memory of two words and of many, for few pieces and for many."""
+    monkeypatch.setattr("clausemine.llm.tokens.FEW", few)
     letters = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]))
     text = " ".join(f"{a}{b}{c}" for a, b, c in zip(letters, letters[7:], ["", ",", "\n" + letters[40], ".)"] * 200, strict=False))
     for known in (2, 1000):
