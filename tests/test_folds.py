@@ -69,3 +69,21 @@ def test_predictions_and_ranks_by_class(spark, monkeypatch, filtered):
     by_class = predict.ClassScores(by_class.heads, by_class.scores.withColumn("score", F.round("score", 9)))
     want, got = ranks(graph, scores, tests, BUYS, filtered), class_ranks(graph, by_class, tests, BUYS, filtered)
     assert rows(got, "test_id", "side", "rank") == rows(want, "test_id", "side", "rank") and got.count() == 162
+
+
+def test_pairs_of_folded_chains(spark):
+    graph, pairs = made(spark)
+    for chain in ((IN, HAS), (IN, ("n", "peer", "c"), BUYS), (IN, ("n", "peer", "c")), (BUYS, BUYS)):
+        fold = reach.Folds(graph).of(chain)
+        if chain[0] == BUYS:
+            assert fold is None
+            continue
+        got = [tuple(r) for r in fold.pairs().collect()]
+        step = [cm.Atom(t[1], cm.Term.variable("A", t[0]), cm.Term.variable("B", t[2])) for t in chain]
+        assert len(got) == len(set(got)) and set(got) == reached(pairs, step)
+    rows = fold_parts(reach.Folds(graph).of((IN, HAS)).pairs())
+    assert len(rows) == 8 and max(rows) < 2 * min(rows)  # three nations, yet all tasks make pairs
+
+
+def fold_parts(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
